@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op8_language_id
+from .token_counts import op4_token_counts
 
-QUERIES = {"op8_language_id": op8_language_id}
+QUERIES = {"op4_token_counts": op4_token_counts, "op8_language_id": op8_language_id}
 ORACLE_SQL: dict[str, str] = {}
