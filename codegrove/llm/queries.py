@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from . import quality
 from .language_id import op8_language_id
 from .simhash import op10_simhash
 from .token_counts import op4_token_counts
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op8_language_id": op8_language_id, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op4_token_counts": op4_token_counts,
+    "op8_language_id": op8_language_id,
+    "op10_simhash": op10_simhash,
+}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.oracle()}
