@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from . import quality
 from .language_id import op8_language_id
+from .packing import op5_packing
 from .simhash import op10_simhash
 from .token_counts import op4_token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
     "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,
 }
