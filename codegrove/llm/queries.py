@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
 from .language_id import op8_language_id
 from .packing import op5_packing
 from .simhash import op10_simhash
@@ -10,9 +10,10 @@ from .token_counts import op4_token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_mixing": mixing.op2_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality": quality.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_quality": quality.oracle(), "op2_mixing": mixing.oracle()}
