@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing, quality
+from .fingerprints import op3_fingerprints
 from .language_id import op8_language_id
 from .packing import op5_packing
 from .simhash import op10_simhash
@@ -11,6 +12,7 @@ from .token_counts import op4_token_counts
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
+    "op3_fingerprints": op3_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op8_language_id": op8_language_id,
