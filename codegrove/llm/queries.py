@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing, quality
+from .embeddings import op7_embedding_dedup
 from .fingerprints import op3_fingerprints
 from .language_id import op8_language_id
 from .packing import op5_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,
 }
