@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing, quality
 from .embeddings import op7_embedding_dedup
 from .fingerprints import op3_fingerprints
+from .html_text import op6_html_extraction
 from .language_id import op8_language_id
 from .packing import op5_packing
 from .simhash import op10_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_html_extraction": op6_html_extraction,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,
