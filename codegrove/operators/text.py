@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..plans import ids
@@ -26,7 +27,7 @@ def fold(text: str, language: str | None = None) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_column(text: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else fold(a, b) for a, b in zip(text, language, strict=True)])
 
