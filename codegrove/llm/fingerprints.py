@@ -85,9 +85,9 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     before = {b["top"]: a["part"] for a, b in zip([tops[-1], *tops], tops, strict=False)}
     known = F.col("doc_id").isin([k for k in before if k is not None])
     heads = base.where(known | F.col("doc_id").isNull() if None in before else known).groupBy("doc_id").agg(F.min("text").alias("text"))
-    to = F.lit(None).cast("int")
-    for k, v in before.items():
-        to = F.when(F.col("doc_id").isNull() if k is None else F.col("doc_id") == k, v).otherwise(to)
+    places = {k: v for k, v in before.items() if k is not None}
+    lookup = f"element_at(map_from_arrays(array({', '.join(f'{k}L' for k in places)}), array({', '.join(map(str, places.values()))})), doc_id)" if places else "NULL"
+    to = F.expr(f"CASE WHEN doc_id IS NULL THEN {before.get(None, 'NULL')} ELSE {lookup} END")
     both = dealt.withColumn("lent", F.lit(False)).unionByName(heads.withColumn("part", to).withColumn("lent", F.lit(True)))
     order = Window.partitionBy("part").orderBy("lent", F.desc_nulls_last("doc_id"), "text")
     return both.select("part", F.row_number().over(order).alias("row"), "lent", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
