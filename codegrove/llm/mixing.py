@@ -138,7 +138,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the sampled documents; rows of one doc_id share a draw and, where they differ, the largest probability."""
     found = mix(described(docs), budget=STAGE_BUDGET)
     out = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept")
-    return docs.join(out.select(F.col("doc_id").alias("_out")), F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti").select(docs.columns)
+    return docs.join(out.select(F.col("doc_id").alias("_out")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti").select(docs.columns)
 
 
 def oracle() -> str:

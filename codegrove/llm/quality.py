@@ -130,7 +130,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose quality is a half or more. Rows of one doc_id stay or go together."""
     found = classify(_sites(docs), table(spark, sf_dir, "labels"))
     bad = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q < 0.5").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
 def oracle() -> str:

@@ -105,7 +105,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component, that of the smallest doc_id; of rows with the same doc_id, one."""
     found = stored(near_duplicates(docs, words=STAGE_WORDS), "near")
     heads = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "heads")
-    keep = docs.join(heads, "doc_id")
+    keep = docs.join(heads.hint("shuffle_hash"), "doc_id")
     out = keep.select(docs.columns)
     if not heads.where("rows > 1").isEmpty():
         out = keep.where("rows = 1").select(docs.columns).unionByName(keep.where("rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
