@@ -242,13 +242,13 @@ constraint(
 
 # descriptions and text
 
-_TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9_]+'), w -> w <> '')"
+_TOK = "list_filter(string_split_regex(lower({}), '[^a-z0-9_]+'), lambda w: w <> '')"
 _TK = f"tk AS MATERIALIZED (SELECT *, {_TOK.format('term')} AS tokens FROM sub)"
-constraint("desc_type_filter", f'<< {REGION} {{{{ type = fsn, term = "nation" }}}}', f"SELECT DISTINCT concept_id AS id FROM tk JOIN tcs ON descendant = concept_id WHERE ancestor = {REGION} AND type_id = {ids.FSN} AND len(list_filter(tokens, w -> w LIKE 'nation%')) > 0", _TK)
-constraint("desc_grain_and", '* {{ term = "code" }} AND * {{ type = fsn }}', f"SELECT DISTINCT concept_id AS id FROM tk WHERE type_id = {ids.FSN} AND len(list_filter(tokens, w -> w LIKE 'code%')) > 0", _TK)
-constraint("term_match", '* {{ term = "cust 0000001" }}', "SELECT DISTINCT concept_id AS id FROM tk WHERE len(list_filter(tokens, w -> w LIKE 'cust%')) > 0 AND len(list_filter(tokens, w -> w LIKE '0000001%')) > 0", _TK)
+constraint("desc_type_filter", f'<< {REGION} {{{{ type = fsn, term = "nation" }}}}', f"SELECT DISTINCT concept_id AS id FROM tk JOIN tcs ON descendant = concept_id WHERE ancestor = {REGION} AND type_id = {ids.FSN} AND len(list_filter(tokens, lambda w: w LIKE 'nation%')) > 0", _TK)
+constraint("desc_grain_and", '* {{ term = "code" }} AND * {{ type = fsn }}', f"SELECT DISTINCT concept_id AS id FROM tk WHERE type_id = {ids.FSN} AND len(list_filter(tokens, lambda w: w LIKE 'code%')) > 0", _TK)
+constraint("term_match", '* {{ term = "cust 0000001" }}', "SELECT DISTINCT concept_id AS id FROM tk WHERE len(list_filter(tokens, lambda w: w LIKE 'cust%')) > 0 AND len(list_filter(tokens, lambda w: w LIKE '0000001%')) > 0", _TK)
 constraint("term_wild", '* {{ term = wild:"supplier*7" }}', "SELECT DISTINCT concept_id AS id FROM sub WHERE lower(term) LIKE 'supplier%7'")
-constraint("term_not", f'< {REGION} {{{{ term != "customer", type = syn }}}}', f"SELECT DISTINCT concept_id AS id FROM tk JOIN tc ON descendant = concept_id WHERE ancestor = {REGION} AND type_id = {ids.SYNONYM} AND len(list_filter(tokens, w -> w LIKE 'customer%')) = 0", _TK)
+constraint("term_not", f'< {REGION} {{{{ term != "customer", type = syn }}}}', f"SELECT DISTINCT concept_id AS id FROM tk JOIN tc ON descendant = concept_id WHERE ancestor = {REGION} AND type_id = {ids.SYNONYM} AND len(list_filter(tokens, lambda w: w LIKE 'customer%')) = 0", _TK)
 constraint("description_active_filter", "* {{ active = false }}", "SELECT DISTINCT concept_id AS id FROM sub WHERE NOT description_active")
 constraint("concept_active_filter", f"< {REGION} {{{{ C active = false }}}}", f"SELECT DISTINCT concept_id AS id FROM sub JOIN tc ON descendant = concept_id WHERE ancestor = {REGION} AND NOT concept_active")
 constraint("dialect_filter", "* {{ dialect = en-gb (accept) }}", f"SELECT DISTINCT concept_id AS id FROM sub JOIN m ON component_id = description_id WHERE refset_id = {ids.EN_GB} AND acceptability_id = {ids.ACCEPTABLE}")
@@ -278,13 +278,13 @@ query(
     f"r AS (SELECT concept_id, d.id, d.term, CASE refset_id WHEN {ids.EN_GB} THEN 0 ELSE 1 END AS place FROM descr d JOIN m ON component_id = d.id WHERE d.active AND type_id = {ids.SYNONYM} AND refset_id IN ({ids.EN_GB}, {ids.EN_US}) AND acceptability_id = {ids.PREFERRED})",
 )(lambda t: lookups.preferred_synonym(t, [ids.EN_GB, ids.EN_US]).select("concept_id", "term"))
 query("fully_specified_name", f"SELECT concept_id, term FROM descr WHERE type_id = {ids.FSN}")(lambda t: lookups.fully_specified_name(t, [ids.EN_US]).select("concept_id", "term"))
-query("search_autocomplete", _search(_HIT + "len(list_filter(tokens, w -> w LIKE 'supp%')) > 0"), _TK, _P)(lambda t: text.search(t, "Supp"))
-query("search_top_k", _search(_HIT + "len(list_filter(tokens, w -> w LIKE 'cust%')) > 0", "ORDER BY length(term), description_id LIMIT 20"), _TK, _P)(lambda t: text.search(t, "cust", max_hits=20))
-query("search_fuzzy_fallback", _search(_HIT + "len(list_filter(tokens, w -> w LIKE 'suplier%' OR levenshtein(w, 'suplier') <= 1)) > 0"), _TK, _P)(lambda t: text.search(t, "suplier", fallback_fuzzy=1))
-query("search_constrained", _search(_HIT + f"concept_id IN (SELECT descendant FROM tcs WHERE ancestor = {NATION}) AND len(list_filter(tokens, w -> w LIKE 'order%')) > 0"), _TK, _P)(
+query("search_autocomplete", _search(_HIT + "len(list_filter(tokens, lambda w: w LIKE 'supp%')) > 0"), _TK, _P)(lambda t: text.search(t, "Supp"))
+query("search_top_k", _search(_HIT + "len(list_filter(tokens, lambda w: w LIKE 'cust%')) > 0", "ORDER BY length(term), description_id LIMIT 20"), _TK, _P)(lambda t: text.search(t, "cust", max_hits=20))
+query("search_fuzzy_fallback", _search(_HIT + "len(list_filter(tokens, lambda w: w LIKE 'suplier%' OR levenshtein(w, 'suplier') <= 1)) > 0"), _TK, _P)(lambda t: text.search(t, "suplier", fallback_fuzzy=1))
+query("search_constrained", _search(_HIT + f"concept_id IN (SELECT descendant FROM tcs WHERE ancestor = {NATION}) AND len(list_filter(tokens, lambda w: w LIKE 'order%')) > 0"), _TK, _P)(
     lambda t: text.search(t, "order", constraint=ecl.concepts(t, f"<< {NATION}"))
 )
-query("search_ranked", f"SELECT description_id, concept_id, term, score FROM (SELECT *, CAST((len(list_filter(tokens, w -> w LIKE 'code%')) > 0) AS int) + CAST((len(list_filter(tokens, w -> w LIKE '50000000%')) > 0) AS int) AS score FROM tk WHERE concept_active AND type_id <> {ids.FSN}) x WHERE score > 0 ORDER BY score DESC, length(term), description_id LIMIT 50", _TK)(
+query("search_ranked", f"SELECT description_id, concept_id, term, score FROM (SELECT *, CAST((len(list_filter(tokens, lambda w: w LIKE 'code%')) > 0) AS int) + CAST((len(list_filter(tokens, lambda w: w LIKE '50000000%')) > 0) AS int) AS score FROM tk WHERE concept_active AND type_id <> {ids.FSN}) x WHERE score > 0 ORDER BY score DESC, length(term), description_id LIMIT 50", _TK)(
     lambda t: text.ranked_search(t, "code 50000000", max_hits=50)
 )
 query(
