@@ -125,6 +125,7 @@ PROJECTION = {
     "priority": "SELECT o_orderpriority AS name, CAST(10000000000 + row_number() OVER (ORDER BY o_orderpriority) AS bigint) AS id FROM (SELECT DISTINCT o_orderpriority FROM orders) b",
     "meta": f"""SELECT CAST({ids.CONCEPT_ATTRIBUTE} AS bigint) AS id, 'Concept model attribute' AS name, CAST({ids.ROOT} AS bigint) AS parent
  UNION ALL SELECT CAST({ids.CONCRETE_ATTRIBUTE} AS bigint), 'Concept model data attribute', CAST({ids.ROOT} AS bigint)
+ UNION ALL SELECT CAST({ids.IS_A} AS bigint), 'Is a', CAST({ids.ROOT} AS bigint)
  UNION ALL SELECT CAST(11000000001 AS bigint), 'Has part', CAST({ids.CONCEPT_ATTRIBUTE} AS bigint)
  UNION ALL SELECT CAST(11000000002 AS bigint), 'Has supplier', CAST({ids.CONCEPT_ATTRIBUTE} AS bigint)
  UNION ALL SELECT CAST(11000000003 AS bigint), 'Has quantity', CAST({ids.CONCRETE_ATTRIBUTE} AS bigint)

@@ -110,8 +110,8 @@ query(
     "hits AS MATERIALIZED (SELECT descendant, ancestor FROM tcs JOIN target ON target.id = ancestor)",
     "h AS MATERIALIZED (SELECT * FROM hits EXCEPT SELECT hits.descendant, tc.ancestor FROM hits JOIN tc ON tc.descendant = hits.ancestor)",
 )(lambda t: graph.map_to(t, t.concept.where("id >= 5000000000 AND id < 6000000000"), MAP).select("id", "via", "map_target"))
-query("properties_long", "SELECT source_id, relationship_group, type_id, destination_id AS target, CAST(NULL AS varchar) AS literal FROM edge UNION ALL SELECT DISTINCT source_id, relationship_group, type_id, NULL, value FROM lit")(
-    graph.properties
+query("properties_long", "SELECT source_id, relationship_group, type_id, destination_id AS target, '' AS literal FROM edge UNION ALL SELECT DISTINCT source_id, relationship_group, type_id, 0, value FROM lit")(
+    lambda t: graph.properties(t).withColumns({"target": F.coalesce("target", F.lit(0)), "literal": F.coalesce("literal", F.lit(""))})
 )
 query("properties_expanded", "SELECT DISTINCT source_id, type_id, ancestor AS target FROM edge JOIN tcs ON descendant = destination_id")(graph.expanded)
 query(
