@@ -120,6 +120,7 @@ def ranked_search(t: Terminology, query: str, *, max_hits: int = 500, constraint
     words = tokens(query)
     rows = _filtered(t, **({"inactive_concepts": False, "inactive_descriptions": True, "fsn": False, "concept_refsets": None, "constraint": constraint, "properties": None} | options))
     score = F.lit(0)
+    begins = lambda q: F.exists("tokens", lambda w: w.startswith(q)).cast("int")
     for q in words:
-        score = score + F.exists("tokens", lambda w, q=q: w.startswith(q)).cast("int")
+        score = score + begins(q)
     return rows.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.length("term"), "description_id").limit(max_hits).select("description_id", "concept_id", "term", "score")

@@ -186,13 +186,14 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Terminology:
         views[name] = spark.sql(_named(text, views), **{f"v_{k}": v for k, v in views.items() if _uses(text, k)})
     concept = views["concept_names"].selectExpr("id", "active", f"{ids.CORE_MODULE} AS module_id", f"CASE WHEN defined THEN {ids.DEFINED} ELSE {ids.PRIMITIVE} END AS definition_status_id")
     member = views["members"].selectExpr("id", "active", "refset_id", "component_id AS referenced_component_id", "target_id AS target_component_id", "acceptability_id", "map_target", "map_priority")
+    # written once, as an import does, so that no query works the projection out again
     out = Terminology(
         spark,
-        conform(concept, CONCEPT),
-        conform(views["descr"], DESCRIPTION),
-        conform(views["rel"].withColumn("active", F.lit(True)), RELATIONSHIP),
-        conform(views["lit"].drop("number").withColumn("active", F.lit(True)), CONCRETE),
-        conform(member, MEMBER),
+        stored(conform(concept, CONCEPT), "concept"),
+        stored(conform(views["descr"], DESCRIPTION), "description"),
+        stored(conform(views["rel"].withColumn("active", F.lit(True)), RELATIONSHIP), "relationship"),
+        stored(conform(views["lit"].drop("number").withColumn("active", F.lit(True)), CONCRETE), "concrete"),
+        stored(conform(member, MEMBER), "member"),
         check_ids=False,
     )
     _made[key] = out

@@ -301,7 +301,7 @@ query("status_counts", "SELECT 'concepts' AS name, count(*) AS n FROM concept_na
 # functions and ingest
 
 query("identifier_partition", "SELECT id, CASE WHEN substr(CAST(id AS varchar), -3, 1) IN ('0', '1') THEN CASE substr(CAST(id AS varchar), -2, 1) WHEN '0' THEN 'concept' WHEN '1' THEN 'description' WHEN '2' THEN 'relationship' END END AS kind FROM meta WHERE id < 11000000000 OR id > 12000000000")(
-    lambda t: t.concept.where(f"id IN ({ids.CONCEPT_ATTRIBUTE}, {ids.CONCRETE_ATTRIBUTE}, {ids.ASSOCIATIONS}, {ids.SAME_AS}, {ids.REPLACED_BY}, {ids.MOVED_TO})").select("id", identifiers.kind_column(F.col("id")).alias("kind"))
+    lambda t: t.concept.where(f"id IN ({ids.IS_A}, {ids.CONCEPT_ATTRIBUTE}, {ids.CONCRETE_ATTRIBUTE}, {ids.ASSOCIATIONS}, {ids.SAME_AS}, {ids.REPLACED_BY}, {ids.MOVED_TO})").select("id", identifiers.kind_column(F.col("id")).alias("kind"))
 )
 
 
