@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import is_valid, kind as kind_of
+from ..functions.locales import dialect
 from ..operators import graph, history, text
 from ..operators.members import compare, components, wildcard
 from . import ids
@@ -312,10 +313,6 @@ class Rows:
 
 
 _TYPES = {"syn": ids.SYNONYM, "fsn": ids.FSN, "def": ids.DEFINITION}
-#: Dialect aliases and their language reference sets.
-DIALECTS = {"en-us": ids.EN_US, "en-gb": ids.EN_GB}
-
-
 class Evaluator:
     def __init__(self, t: Terminology):
         self.t = t
@@ -499,9 +496,9 @@ class Evaluator:
             out = None
             for v in x.values:
                 if v.kind == "word":
-                    if v.value not in DIALECTS:
+                    if dialect(v.value) is None:
                         raise EclError("invalid-value", f"unknown dialect {v.value}")
-                    refset = self.t.ids(DIALECTS[v.value])
+                    refset = self.t.ids(dialect(v.value))
                 else:
                     refset = self.realise(self.eval(v.of))
                 m = self.t.member.join(refset.select(F.col("id").alias("refset_id")), "refset_id", "left_semi")
