@@ -82,7 +82,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     dealt = base.withColumn("part", own)
     # one row a part: bounded by their number
     tops = docs.select("doc_id", own.alias("part")).groupBy("part").agg(F.max("doc_id").alias("top")).orderBy(F.desc("part")).collect()
-    before = {b["top"]: a["part"] for a, b in zip([tops[-1], *tops], tops, strict=False)}
+    before = {b["top"]: a["part"] for a, b in zip([*tops[-1:], *tops], tops, strict=False)}
     known = F.col("doc_id").isin([k for k in before if k is not None])
     heads = base.where(known | F.col("doc_id").isNull() if None in before else known).groupBy("doc_id").agg(F.min("text").alias("text"))
     places = {k: v for k, v in before.items() if k is not None}
