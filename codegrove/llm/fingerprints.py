@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from .common import table
 
 SAMPLES = 64
+#: Samples that a row of a term works out: few enough that the generated code is compiled.
+BLOCK = 16
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -34,27 +36,28 @@ def _uniform(bits: str, low: int, n: int) -> str:
 
 
 def draw(k: int, samples: int) -> str:
-    """A term's draw for sample k, in SQL, from h (hash of the term) and lw (ln of its weight).
+    """A term's draw for sample block * BLOCK + k, in SQL, from h (hash of the term), lw (ln of its weight) and block.
 
-    One long that orders like the draw: the draw in fixed point above 32 bits of a hash of the term and t.
+    One long that orders like the draw: the draw in fixed point above 32 bits of the term's hash. Of one term and sample
+    each t has a draw of its own, so that equal longs are equal terms and t.
     """
-    u, v = f"xxhash64(h, {k})", f"xxhash64(h, {k + samples})"
+    u, v = f"xxhash64(h, block, {k})", f"xxhash64(h, block, {k + samples})"
     r = f"(-ln({_uniform(u, 0, 32)} * {_uniform(u, 32, 32)}))"
     c = f"(-ln({_uniform(v, 0, 21)} * {_uniform(v, 21, 21)}))"
     t = f"floor(lw / {r} + {_uniform(v, 42, 22)})"
     a = f"(ln({c}) - {r} * ({t} - {_uniform(v, 42, 22)} + 1))"
-    return f"shiftleft(CAST((greatest({a}, -120.0D) + 120.0D) * 16777216.0D AS bigint), 32) | (xxhash64(h, {t}) & 4294967295L)"
+    return f"shiftleft(CAST((greatest({a}, -120.0D) + 120.0D) * 16777216.0D AS bigint), 32) | (h & 4294967295L)"
 
 
-def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """Samples s0.. of each key, from rows (keys, word, n)."""
-    base = terms.select(*keys, F.xxhash64("word").alias("h"), F.ln(F.col("n") * F.length("word")).alias("lw"))
-    return base.groupBy(*keys).agg(*[F.expr(f"min({draw(k, samples)}) AS s{k}") for k in range(samples)])
-
-
-def hexed(samples: int = SAMPLES) -> Column:
-    """The fingerprint: 4 hexadecimal digits a sample."""
-    return F.expr("lower(concat(" + ", ".join(f"lpad(hex(s{k} & 65535), 4, '0')" for k in range(samples)) + "))")
+def prints(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys and print, the fingerprint: 4 hexadecimal digits a sample. From rows (keys, word, n); a wordless text has none."""
+    blocks = -(-samples // BLOCK)
+    base = terms.select(*keys, F.xxhash64("word").alias("h"), F.ln(F.col("n") * F.length("word")).alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    found = base.groupBy(*keys, "block").agg(*[F.expr(f"min({draw(k, samples)}) AS s{k}") for k in range(BLOCK)])
+    digits = F.expr("lower(concat(" + ", ".join(f"lpad(hex(xxhash64(s{k}) & 65535), 4, '0')" for k in range(BLOCK)) + "))")
+    parts = found.select(*keys, "block", digits.alias("digits"))
+    whole = parts.groupBy(*keys).agg(*[F.max(F.when(F.col("block") == b, F.col("digits"))).alias(f"d{b}") for b in range(blocks)])
+    return whole.select(*keys, F.substring(F.concat(*[F.col(f"d{b}") for b in range(blocks)]), 1, 4 * samples).alias("print"))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -102,7 +105,7 @@ def terms(long: DataFrame, keys: list[str], text: str) -> DataFrame:
 def fingerprint(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
     """doc_id (distinct) and fingerprint of whole texts."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = signatures(terms(base, ["doc_id"], "text"), ["doc_id"], samples).select("doc_id", hexed(samples).alias("fingerprint"))
+    found = prints(terms(base, ["doc_id"], "text"), ["doc_id"], samples).select("doc_id", F.col("print").alias("fingerprint"))
     return base.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("fingerprint", F.lit("0" * 4 * samples)).alias("fingerprint"))
 
 
@@ -114,7 +117,7 @@ def fingerprint_edits(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
     rows = rows.withColumn("edited", edited)
     keys = ["part", "row", "which"]
     long = rows.select("part", "row", F.posexplode(F.array("text", "edited")).alias("which", "t"))
-    found = signatures(terms(long, keys, "t"), keys, samples).select(*keys, hexed(samples).alias("print"))
+    found = prints(terms(long, keys, "t"), keys, samples)
     found = found.groupBy("part", "row").agg(F.max(F.when(F.col("which") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("print"))).alias("edited_fingerprint"))
     about = rows.select("part", "row", "lent", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     empty = F.lit("0" * 4 * samples)
