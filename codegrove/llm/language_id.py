@@ -100,18 +100,17 @@ class Matcher:
         return self.langs[best], 1 - float(apart[best]) / (len(own) * self.size)
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = PROFILE) -> DataFrame:
-    """Each row's doc_id, text, lang_pred and score, from the whole text alone. `docs` keeps its other columns."""
+def identify(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with each row's language and score, from the whole text alone, in columns of the given names; these replace columns of the same name."""
     prepare(docs.sparkSession)
-    names = docs.columns
-    out = [n for n in names if n not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{n}` {docs.select(n).schema[0].dataType.simpleString()}" for n in out) + ", lang_pred string, score double"
+    out = [n for n in docs.columns if n not in names]
+    schema = ", ".join([*(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in out), f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(profiles, size)
         for b in batches:
             found = [match(x) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in out), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*out, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in out), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*out, *names])
 
     return docs.select(*out).mapInArrow(run, schema)
 
@@ -133,5 +132,6 @@ LEAST = 0.15
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that are in some language; a null lang becomes the predicted one."""
-    kept = identify(docs, learn(docs.select("doc_id", "text", "lang"))).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found, score = "_found_lang", "_found_score"
+    kept = identify(docs, learn(docs.select("doc_id", "text", "lang")), names=(found, score)).where((F.col(found) != UNKNOWN) & (F.col(score) >= LEAST))
+    return kept.withColumn("lang", F.coalesce("lang", found)).select(docs.columns)

@@ -104,14 +104,14 @@ STAGE_WORDS = 5
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component, that of the smallest doc_id; of rows with the same doc_id, one."""
     found = stored(near_duplicates(docs, words=STAGE_WORDS), "near")
-    heads = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "heads")
+    heads = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "heads")
     keep = docs.join(heads.hint("shuffle_hash"), "doc_id")
     out = keep.select(docs.columns)
-    if not heads.where("rows > 1").isEmpty():
-        out = keep.where("rows = 1").select(docs.columns).unionByName(keep.where("rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    if not heads.where("_rows > 1").isEmpty():
+        out = keep.where("_rows = 1").select(docs.columns).unionByName(keep.where("_rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
     if not found.where("component_id is null").isEmpty():
-        lone = docs.where("doc_id is null").join(found.where("component_id is null").select(F.col("fp")).distinct(), _print_of("text") == F.col("fp"))
-        out = out.unionByName(lone.dropDuplicates(["fp"]).select(docs.columns))
+        lone = docs.where("doc_id is null").join(found.where("component_id is null").select(F.col("fp").alias("_fp")).distinct(), _print_of("text") == F.col("_fp"))
+        out = out.unionByName(lone.dropDuplicates(["_fp"]).select(docs.columns))
     return out
 
 

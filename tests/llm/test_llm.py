@@ -261,6 +261,12 @@ def test_language(docs, empty, spark):
     assert language_id.identify(empty, profiles).count() == 0
 
 
+def test_language_stage_keeps_columns_of_any_name(docs, spark):
+    kept = language_id.stage(spark, docs.withColumn("rows", docs["n_chars"]), "")
+    assert kept.columns == [*docs.columns, "rows"] and {r["score"] for r in kept.collect()} == {"clash"}
+    assert simhash.stage(spark, kept, "").columns == kept.columns
+
+
 def test_rank_order_distance():
     match = language_id.Matcher({"x": [97, 98], "y": [98, 97]}, 5)
     codes, counts = language_id.grams("aab")
