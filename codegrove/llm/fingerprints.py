@@ -1,8 +1,8 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
 A document is a bag of weighted terms: its words, each weighing its count times its length. For each of K samples a term
-gets a rate r and a level c, both Gamma(2, 1), and a shift b, uniform on [0, 1), all three from hashes of the term and the
-sample's number. With t = floor(ln(weight) / r + b) the term's draw is ln(c) - r * (t - b + 1), and the sample is the term
+gets a rate r and a level c, both Gamma(2, 1) (from a table of quantiles), and a shift b, uniform on [0, 1), all three from
+a hash of the term and the sample's number. With t = floor(ln(weight) / r + b) the term's draw is ln(c) - r * (t - b + 1), and the sample is the term
 and t of the smallest draw. Two documents agree on a sample with a probability equal to their generalised Jaccard
 similarity, the sum of the smaller over the sum of the larger weights. A fingerprint is 16 bits of each sample's hash.
 
@@ -27,33 +27,55 @@ from .common import table
 SAMPLES = 64
 #: Samples that a row of a term works out: few enough that the generated code is compiled.
 BLOCK = 16
+#: Equal shares of the Gamma distribution; a rate or a level is the middle of one.
+STEPS = 4096
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _uniform(bits: str, low: int, n: int) -> str:
-    """n bits of a hash as a number between 0 and 1."""
-    return f"(((shiftrightunsigned({bits}, {low}) & {(1 << n) - 1}L) + 0.5D) / {1 << n}.0D)"
+def gamma_quantiles(steps: int = STEPS) -> list[float]:
+    """Gamma(2, 1) at the middles of equal shares: x with 1 - (1 + x) exp(-x) = q, by Newton's method from the one before."""
+    out, x = [], 0.01
+    for k in range(steps):
+        q = (k + 0.5) / steps
+        for _ in range(80):
+            step = (1 - (1 + x) * math.exp(-x) - q) / (x * math.exp(-x))
+            x = max(x / 2, x - step)
+            if abs(step) < 1e-13 * x:
+                break
+        out.append(x)
+    return out
 
 
-def draw(k: int, samples: int) -> str:
-    """A term's draw for sample block * BLOCK + k, in SQL, from h (hash of the term), lw (ln of its weight) and block.
+def _literal(spark: SparkSession, values: list[float]) -> Column:
+    """Numbers as one literal: built from thousands of literals, plans would take seconds to analyse."""
+    array = spark.sparkContext._gateway.new_array(spark._jvm.double, len(values))
+    for i, v in enumerate(values):
+        array[i] = v
+    return Column(spark._jvm.org.apache.spark.sql.functions.lit(array))
+
+
+def draw(k: int, rates: Column, levels: Column) -> Column:
+    """A term's draw for sample block * BLOCK + k, from h (hash of the term), lw (ln of its weight) and block.
 
     One long that orders like the draw: the draw in fixed point above 32 bits of the term's hash. Of one term and sample
     each t has a draw of its own, so that equal longs are equal terms and t.
     """
-    u, v = f"xxhash64(h, block, {k})", f"xxhash64(h, block, {k + samples})"
-    r = f"(-ln({_uniform(u, 0, 32)} * {_uniform(u, 32, 32)}))"
-    c = f"(-ln({_uniform(v, 0, 21)} * {_uniform(v, 21, 21)}))"
-    t = f"floor(lw / {r} + {_uniform(v, 42, 22)})"
-    a = f"(ln({c}) - {r} * ({t} - {_uniform(v, 42, 22)} + 1))"
-    return f"shiftleft(CAST((greatest({a}, -120.0D) + 120.0D) * 16777216.0D AS bigint), 32) | (h & 4294967295L)"
+    bits = STEPS.bit_length() - 1
+    u = F.xxhash64("h", "block", F.lit(k))
+    r = rates[F.shiftrightunsigned(u, 64 - bits).cast("int")]
+    level = levels[F.shiftrightunsigned(u, 64 - 2 * bits).bitwiseAND(F.lit(STEPS - 1)).cast("int")]
+    b = u.bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(4294967296.0)
+    a = level - r * (F.floor(F.col("lw") / r + b) - b + 1)
+    return F.shiftleft(((F.greatest(a, F.lit(-120.0)) + 120) * F.lit(16777216.0)).cast("long"), 32).bitwiseOR(F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def prints(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys and print, the fingerprint: 4 hexadecimal digits a sample. From rows (keys, word, n); a wordless text has none."""
     blocks = -(-samples // BLOCK)
     base = terms.select(*keys, F.xxhash64("word").alias("h"), F.ln(F.col("n") * F.length("word")).alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = base.groupBy(*keys, "block").agg(*[F.expr(f"min({draw(k, samples)}) AS s{k}") for k in range(BLOCK)])
+    spark, quantiles = terms.sparkSession, gamma_quantiles()
+    rates, levels = _literal(spark, quantiles), _literal(spark, [math.log(x) for x in quantiles])
+    found = base.groupBy(*keys, "block").agg(*[F.min(draw(k, rates, levels)).alias(f"s{k}") for k in range(BLOCK)])
     digits = F.expr("lower(concat(" + ", ".join(f"lpad(hex(xxhash64(s{k}) & 65535), 4, '0')" for k in range(BLOCK)) + "))")
     parts = found.select(*keys, "block", digits.alias("digits"))
     whole = parts.groupBy(*keys).agg(*[F.max(F.when(F.col("block") == b, F.col("digits"))).alias(f"d{b}") for b in range(blocks)])
