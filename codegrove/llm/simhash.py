@@ -7,6 +7,9 @@ distance at most 1. Every distinct fingerprint is put into its own cell and thos
 an equi-join on the cells finds each pair, and the join's condition compares all 64 bits. Equal fingerprints are one node
 with the smallest doc_id, so that groups of copies of any size cost one row.
 
+The pipeline's stage asks for a similarity, not for bits: it finds all pairs of five-word shingle sets at 0.8 or more by their
+prefixes, and checks each on the sets.
+
 Edge cases: a null text counts as empty; texts without words have fingerprint zero and link like others; fewer than four
 words are one shingle; repeated shingles count each time; repeated rows fall into one component; a row without doc_id
 gets the smallest doc_id of its component, null if that has none; other columns are ignored.
@@ -20,10 +23,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, prepare, stored, table
+from .common import components, prepare, stored, table
 
 WORDS, BITS, SEED = 4, 4, 42
 BLOCK = 100_000
@@ -97,23 +100,127 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The stage takes five words, and links fingerprints that differ in at most this many bits.
-STAGE_WORDS = 5
+#: The stage takes shingles of five words, and links texts whose sets of shingles have a Jaccard similarity of PART / OF or more.
+STAGE_WORDS, PART, OF = 5, 4, 5
+#: Documents, about, whose shingles are counted to tell the common ones, and how many of those are told at most. Neither changes a result.
+SAMPLE, COMMON = 20_000, 100_000
+
+
+def shingles(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """Hashes of a text's distinct shingles, as signed integers in order."""
+    split = (text or "").encode("utf-8", "replace").lower().split()
+    n = max(len(split) - words + 1, min(1, len(split)))
+    joined = b" ".join(split)
+    ends = list(accumulate((len(w) + 1 for w in split), initial=0))
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(ends[:n], ends[min(words, len(split)) :], strict=False)]), ">i8").astype(np.int64))
+
+
+def _print(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)], dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that three documents of a sample have, in order, and in how many."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x), pa.int64())], ["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
+    found = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
+    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def shingle_prefixes(docs: DataFrame) -> DataFrame:
+    """doc_id, print of the set of shingles, its size, and its prefix: with any one order of all shingles, here the rare ones
+    first, sets at the least similarity share one of the first size - least share + 1."""
+    prepare(docs.sparkSession)
+    known, often = common_shingles(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, sizes, firsts = [], [], []
+            for x in b.column(1).to_pylist():
+                own = shingles(x)
+                count = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    count = np.where(known[at] == own, often[at], 0)
+                prints.append(_print(own))
+                sizes.append(len(own))
+                firsts.append(own[np.lexsort((own, count))][: len(own) - (PART * len(own) + OF - 1) // OF + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts)], ["doc_id", "print", "size", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print long, size int, prefix array<long>")
+
+
+def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (a, b) of prints, whose components are those of all pairs at the least similarity.
+
+    Prints that share a shingle of their prefixes are compared with the smallest of them; then the pairs that share one and
+    that these links leave apart. So a large group of near copies is compared with one of them, not each with each.
+    """
+    nodes = prints.where("size > 0").groupBy("print").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id"))
+    rows = nodes.select("print", "size", F.posexplode("prefix").alias("at", "h"))
+    by = Window.partitionBy("h")
+    rows = rows.withColumns({"n": F.count("*").over(by), "low": F.min(F.struct("print", "size", "at")).over(by)})
+    shared = stored(rows.where("n > 1").drop("n"), "shared")
+
+    def near(a: str, b: str, i: str, j: str) -> F.Column:
+        """Whether sets of these sizes, whose first common shingle is at these places, can have the least similarity."""
+        most = F.least(F.col(a) - F.col(i), F.col(b) - F.col(j))
+        return (OF + PART) * most >= PART * (F.col(a) + F.col(b))
+
+    ids = nodes.join(shared.select("print").distinct().hint("shuffle_hash"), "print", "left_semi").select(F.col("doc_id").alias("_doc")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_print(x) for x in sets], pa.int64()), _lists(sets)], ["print", "hashes"])
+
+    texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
+    sets = stored(texts.mapInArrow(run, "print long, hashes array<long>").dropDuplicates(["print"]), "sets")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "ha").hint("shuffle_hash"), "a").join(sets.toDF("b", "hb").hint("shuffle_hash"), "b")
+        least = OF * F.size(F.array_intersect("ha", "hb")) >= PART * F.size(F.array_union("ha", "hb"))
+        return both.where(least).select("a", "b")
+
+    first = shared.select(F.col("print").alias("a"), "size", "at", F.col("low.print").alias("b"), F.col("low.size").alias("s"), F.col("low.at").alias("j")).where(F.col("a") != F.col("b"))
+    links = stored(checked(first.where(near("size", "s", "at", "j")).select("a", "b").distinct()), "links")
+    roots = components(links)
+    long = shared.drop("low").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    a, b = long.toDF("a", "sa", "i", "h", "ra"), long.toDF("b", "sb", "j", "h", "rb")
+    rest = a.hint("merge").join(b, (a["h"] == b["h"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("sa", "sb", "i", "j"))
+    return links.unionByName(checked(rest.select("a", "b").distinct()))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component, that of the smallest doc_id; of rows with the same doc_id, one."""
-    found = stored(near_duplicates(docs, words=STAGE_WORDS), "near")
-    heads = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "heads")
-    keep = docs.join(heads.hint("shuffle_hash"), "doc_id")
-    out = keep.select(docs.columns)
-    if not heads.where("_rows > 1").isEmpty():
-        out = keep.where("_rows = 1").select(docs.columns).unionByName(keep.where("_rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
-    if not found.where("component_id is null").isEmpty():
-        lone = docs.where("doc_id is null").join(found.where("component_id is null").select(F.col("fp").alias("_fp")).distinct(), _print_of("text") == F.col("_fp"))
-        out = out.unionByName(lone.dropDuplicates(["_fp"]).select(docs.columns))
+    """Keep one document of each component, that of the smallest doc_id; of rows with the same doc_id, one; of a component
+    without a doc_id, one."""
+    prints = stored(shingle_prefixes(docs), "prints")
+    roots = components(similar(docs, prints)).toDF("print", "root")
+    found = prints.select("doc_id", "print").join(roots, "print", "left").select("doc_id", "print", F.coalesce("root", "print").alias("root"))
+    heads = found.groupBy("root").agg(F.min("doc_id").alias("head"))
+    found = stored(found.join(heads, "root"), "near")
+    keep = stored(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("_rows"), F.bool_or(F.col("doc_id") == F.col("head")).alias("_head")).where("_head").drop("_head"), "heads")
+    kept = docs.join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"))
+    out = kept.select(docs.columns)
+    if not keep.where("_rows > 1").isEmpty():
+        out = kept.where("_rows = 1").select(docs.columns).unionByName(kept.where("_rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
+    lone = found.where("head IS NULL").groupBy("root").agg(F.min("print").alias("_print"))
+    if not lone.isEmpty():
+        rows = docs.where("doc_id IS NULL").withColumn("_own", _print_of("text")).join(lone.select("_print"), F.col("_own") == F.col("_print"))
+        out = out.unionByName(rows.dropDuplicates(["_own"]).select(docs.columns))
     return out
 
 
 def _print_of(column: str) -> F.Column:
-    return F.udf(lambda x: fingerprint(x, STAGE_WORDS), "long")(F.col(column))
+    return F.udf(lambda x: _print(shingles(x)), "long")(F.col(column))

@@ -98,6 +98,36 @@ def test_simhash_components_and_stage(docs, empty, spark):
     assert simhash.stage(spark, empty, "").count() == 0
 
 
+def test_simhash_stage_keeps_one_of_similar_texts(spark):
+    pick = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in pick.integers(0, 500, n)) for n in (60, 80, 100, 300, 3)]
+    for t in texts[:4]:
+        for edits in (1, 1, 2, 3, 5, 8):
+            w = t.split()
+            for k in pick.choice(len(w), edits, replace=False):
+                w[k] = f"new{int(pick.integers(1 << 30))}"
+            texts.append(" ".join(w))
+        texts += [t + " and more words at the end", t.upper(), t[: len(t) * 3 // 4]]
+    line = " the same long line of license text in very many of the documents"
+    texts += [" ".join(f"v{int(x)}" for x in pick.integers(0, 500, 20)) + line for _ in range(30)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    apart = []
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            bits = (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)) % (1 << 64)
+            apart.append(alike and bits.bit_count() > 4)
+            if alike and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert any(apart)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.stage(spark, rows, "").collect()} == set(root)
+    rows = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert simhash.stage(spark, rows, "").count() == len(set(root))
+
+
 @settings(max_examples=5, deadline=None)
 @given(links=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, links):
