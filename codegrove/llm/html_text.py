@@ -4,7 +4,8 @@ A page's tokens are its block elements, each told apart by its path from the roo
 the same occurrence vector (how often each page has them) form a class; a vector is kept as the number of its pages and a
 sum of hashes of (page, count). Classes that half of the host's pages share are the template; their tokens are nested by
 path. A slot is what lies between: the text whose deepest template token is the same. Slots under article or main tokens
-are the main text where the host's template has some, else those that hold much text and few links. Menus, headers,
+are the main text where the host's template has some, else all that lies in the lowest element that contains the slots with
+much text and few links; paragraphs, headings, lists, quotes and tables do not count as such an element. Menus, headers,
 footers, sidebars, notices, adverts, forms and comments are told by their element or by a word of its class, id or role,
 on every page, and left out. A page without text in its host's main slots, or whose host has one page, is read by the same
 rules from the page alone.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import prepare, stored, table
 
 SUPPORT, LEAST_PAGES = 0.5, 2
-#: A slot is main text if it has this share of the largest slot's text, and less than half of it in links.
+#: A slot has much text if it has this share of the largest slot's text; less than half of it may be in links.
 SHARE = 0.25
 #: Hosts up to which the templates are sent to every executor; each has at most TEMPLATE paths.
 FEW_HOSTS, TEMPLATE = 2_000, 200
@@ -38,6 +39,8 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements that a text consists of, and that don't contain a whole one.
+_PARTS = set("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption colgroup thead tbody tfoot tr td th address details summary".split())
 #: Elements that are never main text.
 _OUT = set("head nav header footer aside form button select menu dialog input label legend fieldset".split())
 #: Words of a class, id or role that name what isn't main text.
@@ -157,8 +160,18 @@ def templates(pages: DataFrame) -> DataFrame:
     deepest = above.join(kept, ["host", "slot"]).groupBy("host", "path").agg(F.max_by("slot", F.length("slot")).alias("slot"), F.first("chars").alias("chars"), F.first("links").alias("links"))
     slots = deepest.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).join(kept, ["host", "slot"]).where("NOT out")
     best = slots.groupBy("host").agg(F.max("chars").alias("most"), F.bool_or("article").alias("has_article"))
-    main = slots.join(best, "host").where(F.when(F.col("has_article"), F.col("article")).otherwise((F.col("chars") >= SHARE * F.col("most")) & (2 * F.col("links") < F.col("chars"))))
-    return main.groupBy("host").agg(F.slice(F.sort_array(F.collect_set("slot")), 1, TEMPLATE).alias("main"))
+    slots = slots.join(best, "host")
+    articles = slots.where("has_article AND article").select("host", "slot")
+    large = slots.where(~F.col("has_article") & (F.col("chars") >= SHARE * F.col("most")) & (2 * F.col("links") < F.col("chars")))
+    # the steps above a slot's last element that isn't a part; what the first and the last of a host's have in common, all have
+    steps = F.split("slot", ">")
+    whole = F.transform(steps, lambda x: ~F.substring_index(x, ".", 1).isin(*_PARTS))
+    parts = F.array_position(F.reverse(whole), True).cast("int")
+    large = large.select("host", F.slice(steps, F.lit(1), F.when(parts > 0, F.size(steps) - parts + 1).otherwise(0)).alias("steps"))
+    ends = large.groupBy("host").agg(F.min("steps").alias("a"), F.max("steps").alias("b"))
+    same = F.filter(F.zip_with("a", F.sequence(F.lit(1), F.size("a")), lambda x, n: F.when(F.slice("a", F.lit(1), n) == F.slice("b", F.lit(1), n), x)), lambda x: x.isNotNull())
+    around = ends.select("host", F.when(F.size("a") == 0, "").otherwise(F.concat_ws(">", same)).alias("slot"))
+    return articles.unionByName(around).groupBy("host").agg(F.slice(F.sort_array(F.collect_set("slot")), 1, TEMPLATE).alias("main"))
 
 
 def main_text(page: str, main: list[str] | None) -> str:
@@ -169,7 +182,7 @@ def main_text(page: str, main: list[str] | None) -> str:
     def inside(path: str) -> bool:
         while path and path not in slots:
             path = path.rpartition(">")[0]
-        return bool(path)
+        return path in slots
 
     own = [inside(x[0]) for x in found]
     articles = [x[3] for x in found]

@@ -262,6 +262,17 @@ def test_main_text(spark):
     assert html_text.extract(pages).count() == len(rows) and html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_keeps_all_parts_of_the_article(spark):
+    def page(k):
+        long = " ".join(f"word{k}x{i}" for i in range(200))
+        return f'<html><body><div class="top">Site {k}</div><div class="story"><h1>Title {k}</h1><p>{long}<h2>Part {k}</h2><p>{long}<ul><li>one {k}<li>two {k}</ul><blockquote>quote {k}</blockquote><table><tr><td>cell {k}</table></div><div class="menu"><p>{long}</div></body></html>', f"Title {k} {long} Part {k} {long} one {k} two {k} quote {k} cell {k}"
+
+    plain = f"<p>{'some text ' * 50}<h2>small</h2>"
+    rows = [(k, f"http://h/{k}", page(k)[0]) for k in range(4)] + [(k, "http://bare/", plain) for k in (8, 9)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == page(k)[1] for k in range(4)) and got[8] == got[9] == "some text " * 50 + "small"
+
+
 # embeddings
 
 
