@@ -30,8 +30,8 @@ from .common import prepare, stored, table
 SUPPORT, LEAST_PAGES = 0.5, 2
 #: A slot has much text if it has this share of the largest slot's text; less than half of it may be in links.
 SHARE = 0.25
-#: Hosts up to which the templates are sent to every executor; each has at most TEMPLATE paths.
-FEW_HOSTS, TEMPLATE = 2_000, 200
+#: Characters of all templates' hosts and paths up to which they are sent to every executor.
+FEW_CHARS = 4_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object)\b[^>]*>.*?(?:</\2\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S | re.I)
 _NAME = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -171,7 +171,7 @@ def templates(pages: DataFrame) -> DataFrame:
     ends = large.groupBy("host").agg(F.min("steps").alias("a"), F.max("steps").alias("b"))
     same = F.filter(F.zip_with("a", F.sequence(F.lit(1), F.size("a")), lambda x, n: F.when(F.slice("a", F.lit(1), n) == F.slice("b", F.lit(1), n), x)), lambda x: x.isNotNull())
     around = ends.select("host", F.when(F.size("a") == 0, "").otherwise(F.concat_ws(">", same)).alias("slot"))
-    return articles.unionByName(around).groupBy("host").agg(F.slice(F.sort_array(F.collect_set("slot")), 1, TEMPLATE).alias("main"))
+    return articles.unionByName(around).groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("main"))
 
 
 def main_text(page: str, main: list[str] | None) -> str:
@@ -197,7 +197,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each page."""
     spark = pages.sparkSession
     found = stored(templates(pages), "templates")
-    few = found.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS
+    few = (found.agg(F.sum(F.length("host") + F.length(F.concat_ws(" ", "main")))).first()[0] or 0) <= FEW_CHARS
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1)), F.lit(""))
     prepare(spark, rows=500)
 

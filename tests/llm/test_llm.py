@@ -273,6 +273,14 @@ def test_main_text_keeps_all_parts_of_the_article(spark):
     assert all(got[k] == page(k)[1] for k in range(4)) and got[8] == got[9] == "some text " * 50 + "small"
 
 
+def test_main_text_of_many_slots(spark, monkeypatch):
+    page = "<html><body><div>" + "".join(f'<section id="s{chr(97 + k // 26)}{chr(97 + k % 26)}"><p>text number {k:03}</p></section>' for k in range(300)) + "</div></body></html>"
+    pages = spark.createDataFrame([(k, f"http://h/{k}", page) for k in range(2)], "page_id long, url string, html string")
+    for few in (1 << 40, -1):
+        monkeypatch.setattr(html_text, "FEW_CHARS", few, raising=False)
+        assert [r["text"] for r in html_text.extract(pages).collect()] == [" ".join(f"text number {k:03}" for k in range(300))] * 2
+
+
 # embeddings
 
 
