@@ -3,9 +3,10 @@
 Templates are cut into words; of the hashes of every K words the smallest of each WINDOW are kept, so that any run of
 K + WINDOW - 1 matching words has a kept one, and a template shorter than that keeps all. The inverted index holds the
 kept hashes' templates and places; it is as large as the templates, whatever the corpus. A document's hashes that are in
-the index propose a template and a shift; nearby shifts are one candidate. Each candidate is aligned word by word within a
-band around its shift. Matches with coverage of LEAST or more are reported; of overlapping matches the one with more
-matched words, then the first template by name.
+the index propose a template and a shift, a candidate. Each candidate is aligned word by word within a
+band around its shift, again for hits that no match of that template covers, in the words between its matches. Matches
+with coverage of LEAST or more are reported; of overlapping matches the one with more matched words, then the first
+template by name.
 
 Edge cases: null, empty and wordless texts have no match; long texts are scanned whole; a document has one row for each
 match, also of the same template; repeated rows are scanned each; other columns are ignored.
@@ -92,8 +93,8 @@ class Scanner:
                 self.index.setdefault(hashes[q], []).append((t, q))
                 self.first.add(w[q])
 
-    def align(self, w: list[str], t: int, shift: int) -> tuple[int, int, int]:
-        """Matched words of template t around a shift, and the document's words from and to between which they are."""
+    def align(self, w: list[str], t: int, shift: int, low: int, high: int) -> tuple[int, int, int]:
+        """Matched words of template t around a shift, in the document's words low to high, and those from and to between which they are."""
         text = self.texts[t]
         best: dict[int, tuple[int, int]] = {}  # of a document place: matched words and the first place matched, the later the better
         top = (0, -1, -1)
@@ -101,7 +102,7 @@ class Scanner:
             row: dict[int, tuple[int, int]] = {}
             left = None
             for p in range(q + shift - BAND, q + shift + BAND + 1):
-                if not 0 <= p < len(w):
+                if not low <= p < high:
                     continue
                 here = max((x for x in (best.get(p), left) if x), default=None)
                 if w[p] == word:
@@ -118,20 +119,26 @@ class Scanner:
     def __call__(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """Matches: template, start, end (code points), matched words, coverage; in text order."""
         w, begin, end = words(text or "")
-        shifts: dict[int, list[int]] = {}
+        shifts: dict[int, dict[int, list[int]]] = {}
         for p in [i for i, x in enumerate(w[: len(w) - K + 1]) if x in self.first] if len(w) >= K else []:
             for t, q in self.index.get(zlib.crc32(" ".join(w[p : p + K]).encode("utf-8", "replace")), ()):
-                shifts.setdefault(t, []).append(p - q)
+                shifts.setdefault(t, {}).setdefault(p - q, []).append(p)
         found = []
         for t, at in shifts.items():
-            last = None
-            for s in sorted(set(at)):
-                if last is not None and s - last <= BAND:
-                    continue
-                last = s
-                n, a, b = self.align(w, t, s)
-                if n >= self.least * len(self.texts[t]):
-                    found.append((-n, t, a, b))
+            taken, tried = bytearray(len(w)), set()  # words in this template's matches, which don't overlap
+            for s in sorted(at):
+                for p in at[s]:
+                    while not taken[p]:
+                        # the words around p that are in no match
+                        low, high = taken.rfind(1, max(0, s - BAND), p) + 1, taken.find(1, p)
+                        if (s, low, high) in tried:
+                            break
+                        tried.add((s, low, high))
+                        n, a, b = self.align(w, t, s, low, high if high >= 0 else len(w))
+                        if n < self.least * len(self.texts[t]):
+                            break
+                        taken[a:b] = b"\1" * (b - a)
+                        found.append((-n, t, a, b))
         kept: list[tuple[int, int, int, int]] = []
         for n, t, a, b in sorted(found):
             if all(b <= x[2] or a >= x[3] for x in kept):

@@ -336,3 +336,13 @@ def test_licenses(docs, empty):
     (m,) = scanner("intro " + " ".join(words))
     assert m[0] == "mit" and 0.95 < m[4] < 1
     assert licenses.scan(docs).count() == 0 and licenses.scan(empty).count() == 0
+
+
+def test_licenses_repeated():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        for n in (2, 3, 7):
+            whole = f"before it. {' '.join([text] * n)} and after"
+            found = scanner(whole)
+            assert [m[0] for m in found] == [name] * n and all(m[4] == 1.0 for m in found)
+            assert [whole[a:b] for _, a, b, _, _ in found] == [text.rstrip(".)/")] * n
