@@ -321,3 +321,47 @@ def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["fold_text"] = fold_documents
 ORACLE_SQL["fold_text"] = "SELECT doc_id, length(strip_accents(text)) AS n, md5(strip_accents(text)) AS folded FROM documents WHERE lang = 'es' OR lang = 'fr'"
+
+# The operators that the queries above apply to a part of the ids, over whole tables. The twins above stay as they are; these have none, a test
+# holds them against plain loops.
+
+
+def _of(t: Terminology) -> DataFrame:
+    return t.concept.select("id")
+
+
+def _every_pair(t: Terminology) -> DataFrame:
+    """Every concept with every region and nation."""
+    return _of(t).toDF("a").crossJoin(F.broadcast(t.concept.where("id >= 1000000000 AND id < 3000000000").select(F.col("id").alias("b"))))
+
+
+WHOLE: dict[str, Callable[[Terminology], DataFrame]] = {
+    "ancestors_of_all": lambda t: graph.all_parents(t, _of(t)),
+    "paths_to_root_count_all": lambda t: graph.paths_to_root(t, _of(t)).groupBy("id").agg(F.count("*").alias("n")),
+    "subsumed_by_all": lambda t: graph.subsumed_by(t, _every_pair(t)),
+    "subsumes_all": lambda t: graph.subsumes(t, _every_pair(t).select(F.col("b").alias("a"), F.col("a").alias("b"))),
+    "leaves_all": lambda t: graph.leaves(t, _of(t)),
+    "top_of_set_all": lambda t: graph.top_leaves(t, _of(t)),
+    "history_min_all": lambda t: history.with_historical(t, _of(t), history.profile(t, "MIN")),
+    "history_mod_all": lambda t: history.with_historical(t, _of(t), history.profile(t, "MOD")),
+    "history_max_all": lambda t: history.with_historical(t, _of(t), history.profile(t, "MAX")),
+    "with_historical_all": lambda t: history.with_historical(t, _of(t)),
+    "source_historical_all": lambda t: history.source_historical(t, _of(t)),
+    "replace_historical_all": lambda t: history.replace_unambiguous(t, t.concept),
+    "ecl_expand_preferred_all": lambda t: ecl.expand_preferred(t, f"< {ids.ROOT}", [ids.EN_US]),
+    "intersect_ecl_all": lambda t: ecl.intersect(t, t.concept, f"< {REGION}"),
+    "extended_concept_flat_all": lambda t: lookups.extended_concept(t, [ids.EN_US]).withColumn("up", F.col("parents")[F.lit(ISA).cast("bigint")]).select(
+        "id", F.size("descriptions").cast("bigint").alias("n_descriptions"), F.when(F.col("up").isNull(), 0).otherwise(F.size("up")).cast("bigint").alias("n_ancestors"), "preferred_synonym"
+    ),
+    "identifier_partition_all": lambda t: t.concept.select("id", identifiers.kind_column(F.col("id")).alias("kind")),
+}
+for _name, _whole in WHOLE.items():
+    QUERIES[_name] = lambda spark, sf_dir, f=_whole: f(from_tables(spark, sf_dir))
+
+
+def fold_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.fold_column("text", "lang").alias("f"))
+    return folded.select("doc_id", F.length("f").cast("bigint").alias("n"), F.md5("f").alias("folded"))
+
+
+QUERIES["fold_text_all"] = fold_all_documents
