@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,27 @@ def prepare(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside; afterwards the session has its own limit again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Rows of a few numbers up to which they are sent to every executor: some 100 MB as a hash table.
+FEW_ROWS = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows (stored, a few numbers each) to be broadcast if they are at most FEW_ROWS, else as they are, to be shuffled."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,17 +2,21 @@
 
 A fingerprint's two halves are cut into 16 segments of 2 bits; the bit counts of the segments are a point of a grid. The
 Manhattan distance of two points is at most the Hamming distance of the halves. Fingerprints that differ in at most 4 bits
-differ in at most 2 in one half, so that there the points are at most 2 apart and have a common neighbour or cell at
-distance at most 1. Every distinct fingerprint is put into its own cell and those next to it, 33 at most for each half;
-an equi-join on the cells finds each pair, and the join's condition compares all 64 bits. Equal fingerprints are one node
-with the smallest doc_id, so that groups of copies of any size cost one row.
+differ in at most 2 in one half: there the points are at most 2 apart, and have a common neighbour, a cell at distance 1 or
+less from both. Two differing bits also leave one of three blocks of the half's segments alone, so a cell is told apart by that
+block's bits themselves, and only the other segments are counted and moved: about 17 cells for each of 6 blocks. The
+fingerprints of a cell are searched breadth first, each compared in all 64 bits with those not yet reached, so that a cell
+of near copies costs and gives one link for each, not one for each pair. Equal fingerprints are one node, so that groups of
+copies of any size cost one row. A cell is held by one task as 8 bytes for each of its distinct fingerprints; those of more
+than MOST are cut into chunks, and each pair of chunks is searched on its own.
 
-The pipeline's stage asks for a similarity, not for bits: it finds all pairs of five-word shingle sets at 0.8 or more by their
-prefixes, and checks each on the sets.
+The pipeline's stage asks for a similarity of texts, not for bits: pairs that the grid finds are checked on the sets of five-word
+shingles, and what similar pairs the grid leaves apart are found by the prefixes of the sets and checked alike.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint zero and link like others; fewer than four
-words are one shingle; repeated shingles count each time; repeated rows fall into one component; a row without doc_id
-gets the smallest doc_id of its component, null if that has none; other columns are ignored.
+words are one shingle; repeated shingles count each time; links are between fingerprints, so rows of one doc_id with different
+texts each have their own text's component; a row without doc_id gets the smallest doc_id of its component, null if that
+has none; repeated rows have the same component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,29 +30,43 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, prepare, stored, table
+from .common import batches_of, components, few, forget, prepare, stored, table
 
 WORDS, BITS, SEED = 4, 4, 42
 BLOCK = 100_000
+#: Fingerprints of a cell that are searched at once.
+MOST = 1_000_000
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64-bit fingerprint of a whole text, as a signed integer."""
-    split = (text or "").encode("utf-8", "replace").lower().split()
+def _digests(split: list[bytes], words: int) -> Iterator[bytes]:
+    """Hashes of a text's shingles, 8 bytes each, BLOCK at a time."""
     n = max(len(split) - words + 1, min(1, len(split)))
-    if not n:
-        return 0
     joined = b" ".join(split)
     ends = list(accumulate((len(w) + 1 for w in split), initial=0))
     last = ends[min(words, len(split)) :]
     digest = xxhash.xxh64_digest
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
-        hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(ends[at : min(n, at + BLOCK)], last[at : at + BLOCK], strict=False)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        yield b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(ends[at : min(n, at + BLOCK)], last[at : at + BLOCK], strict=False)])
+
+
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def _vote(hashes: Iterator[bytes]) -> int:
+    """The bits that more than half of the hashes have, as a signed integer."""
+    ones, n = np.zeros(64, np.int64), 0
+    for x in hashes:
+        ones += np.unpackbits(np.frombuffer(x, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(x) // 8
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """64-bit fingerprint of a whole text, as a signed integer."""
+    return _vote(_digests(_split(text), words))
+
+
 def fingerprints(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     """doc_id and fingerprint (long) of each row."""
     prepare(docs.sparkSession)
@@ -60,38 +78,154 @@ def fingerprints(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _cells(half: F.Column) -> F.Column:
-    """The cell of a half and the cells next to it, null where there is none. A cell has the bit counts of 16 segments, 2 bits each."""
-    low = 0x55555555
-    own = half.bitwiseAND(F.lit(low)) + F.shiftright(half, 1).bitwiseAND(F.lit(low))
-    near = [own]
-    for i in range(0, 32, 2):
-        here = F.shiftright(own, i).bitwiseAND(F.lit(3))
-        near += [F.when(here < 2, own + F.lit(1 << i)), F.when(here > 0, own - F.lit(1 << i))]
-    return F.array(*near)
+#: The blocks of a half: their first segment and their number of segments.
+PARTS = ((0, 5), (5, 5), (10, 6))
 
 
-def near_pairs(nodes: DataFrame, *, bits: int = BITS) -> DataFrame:
-    """Pairs (a, b) of the nodes (node, fp: distinct) that differ in at most `bits` (4 at most) bits."""
+def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of fingerprints (uint64), and for each cell the place of its fingerprint.
+
+    A cell is a number below 6 * 2**32: the half and the block, the block's bits, and two bits for the count of each other segment.
+    """
+    low = np.uint32(0x55555555)
+    found, at = [], []
+    for half in (0, 1):
+        bits = (fp >> np.uint64(32 * half)).astype(np.uint32)
+        counts = (bits & low) + ((bits >> np.uint32(1)) & low)
+        for k, (first, size) in enumerate(PARTS):
+            own = np.uint32(((1 << 2 * size) - 1) << 2 * first)
+            cell = (counts & ~own) | (bits & own)
+            found.append([cell])
+            at.append([np.arange(len(fp))])
+            for i in range(16):
+                if first <= i < first + size:
+                    continue
+                here, one = (cell >> np.uint32(2 * i)) & np.uint32(3), np.uint32(1 << 2 * i)
+                for may, moved in ((here < 2, cell + one), (here > 0, cell - one)):
+                    found[-1].append(moved[may])
+                    at[-1].append(np.flatnonzero(may))
+            found[-1] = [np.concatenate(found[-1]).astype(np.int64) * 6 + (3 * half + k)]
+    return np.concatenate([x for y in found for x in y]), np.concatenate([x for y in at for x in y])
+
+
+def linked(fp: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
+    """For each group of fingerprints (uint64, distinct) that links of at most `bits` bits join: its first, and the others."""
+    out, left = [], fp
+    while len(left) > 1:
+        head, left, near, done = left[0], left[1:], [left[0]], []
+        while near and len(left):
+            close = np.bitwise_count(left ^ near.pop()) <= bits
+            if close.any():
+                got = left[close]
+                done.append(got)
+                near += list(got)
+                left = left[~close]
+        if done:
+            out.append((head, np.concatenate(done)))
+    return out
+
+
+def _searched(rows: DataFrame, bits: int, most: int) -> DataFrame:
+    """rows (cell, fp) sorted by cell -> links (a, b: fingerprints, cell null); rows of cells with more than `most` come back as (fp, null, cell)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            a, b = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "cell"])
+
+        def crowd(cell: int, fp: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), cell))], ["a", "b", "cell"])
+
+        last, parts, held, over = None, [], 0, False  # the cell that goes on in the next batch
+        for batch in batches:
+            cell, fp = (np.asarray(batch.column(k)) for k in (0, 1))
+            fp, found = fp.astype(np.int64).view(np.uint64), []
+            edges = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(cell)]])
+            if not len(cell):
+                continue
+            if last is not None and cell[0] != last:
+                if not over and held > 1:
+                    found += [(np.full(len(x), h), x) for h, x in linked(np.concatenate(parts), bits)]
+                last, parts, held, over = None, [], 0, False
+            first = 0
+            if last is not None or len(starts) == 1:  # the first cell began before
+                parts.append(fp[: ends[0]])
+                last, held, first = cell[0], held + len(parts[-1]), 1
+                if held > most:
+                    over = True
+                if over:
+                    yield crowd(last, np.concatenate(parts))
+                    parts = []
+                if len(starts) > 1:
+                    if not over and held > 1:
+                        found += [(np.full(len(x), h), x) for h, x in linked(np.concatenate(parts), bits)]
+                    last, parts, held, over = None, [], 0, False
+            if len(starts) > first:  # the last cell may go on
+                last, parts, held, over = cell[-1], [fp[starts[-1] :]], len(cell) - starts[-1], False
+                starts, ends = starts[first:-1], ends[first:-1]
+                if held > most:
+                    yield crowd(last, parts[0])
+                    parts, over = [], True
+            else:
+                starts, ends = starts[:0], ends[:0]
+            size = ends - starts
+            two = starts[size == 2]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
+            found.append((fp[two], fp[two + 1]))
+            for s, e in zip(starts[size > 2], ends[size > 2], strict=True):
+                if e - s > most:
+                    yield crowd(cell[s], fp[s:e])
+                else:
+                    found += [(np.full(len(x), h), x) for h, x in linked(fp[s:e], bits)]
+            yield links(found)
+        if last is not None and not over and held > 1:
+            yield links([(np.full(len(x), h), x) for h, x in linked(np.concatenate(parts), bits)])
+
+    return rows.mapInArrow(run, "a long, b long, cell long")
+
+
+def near_links(nodes: DataFrame, *, bits: int = BITS, most: int = MOST) -> DataFrame:
+    """Links (a, b) of the fingerprints (fp: distinct), whose components are those of all pairs that differ in at most `bits` (4 at most) bits.
+
+    Each is a pair of one component of a cell; not every one differs in so few bits itself.
+    """
     if bits > 4:
         raise ValueError("the grid finds pairs of up to 4 differing bits")
-    mask = F.lit(0xFFFFFFFF)
-    halves = F.array(
-        *[F.struct(F.lit(k).cast("byte").alias("half"), F.shiftright("fp", 32 * k).bitwiseAND(mask).alias("bits")) for k in (0, 1)]
-    )
-    long = nodes.select("node", "fp", F.explode(halves).alias("h")).select("node", "fp", F.col("h.half").alias("half"), F.explode(_cells(F.col("h.bits"))).alias("cell")).where("cell is not null")
-    long = long.select((F.col("cell") * 2 + F.col("half")).alias("cell"), "node", "fp")
-    a, b = long.toDF("cell", "a", "fa"), long.toDF("cell", "b", "fb")
-    apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    return a.hint("merge").join(b, (a["cell"] == b["cell"]) & (F.col("fa") < F.col("fb")) & (apart <= bits)).select("a", "b").distinct()
+    spark = nodes.sparkSession
+    prepare(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.asarray(b.column(0)).astype(np.int64).view(np.uint64)
+            found, at = cells(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(fp[at].view(np.int64))], ["cell", "fp"])
+
+    def search(rows: DataFrame, most: int) -> DataFrame:
+        with batches_of(spark, 100_000):
+            return stored(_searched(rows.repartition("cell").sortWithinPartitions("cell"), bits, most), "near")
+
+    found = search(nodes.select("fp").mapInArrow(run, "cell long, fp long"), most)
+    out, crowds = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL").select("cell", F.col("a").alias("fp"))
+    if crowds.isEmpty():
+        return out
+    # cells of more than `most` fingerprints: each pair of chunks is a cell of its own
+    half = max(1, most // 2)
+    chunks = crowds.groupBy("cell").agg(F.ceil(F.count("*") / half).cast("int").alias("n"))
+    rows = crowds.join(chunks, "cell").withColumn("c", F.pmod(F.xxhash64("fp"), "n").cast("int"))
+    others = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.struct(F.least("c", x).alias("p"), F.greatest("c", x).alias("q"))))
+    rows = rows.select("cell", "fp", others.alias("pair")).select(F.xxhash64("cell", "pair.p", "pair.q").alias("cell"), "fp")
+    return out.unionByName(search(rows, 1 << 62).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, fp and component_id of each row."""
     prints = stored(fingerprints(docs, words=words), "prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(near_pairs(nodes.where("node is not null"), bits=bits))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    roots = components(near_links(nodes, bits=bits)).withColumnRenamed("node", "fp")
+    found = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = found.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = found.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -104,16 +238,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE_WORDS, PART, OF = 5, 4, 5
 #: Documents, about, whose shingles are counted to tell the common ones, and how many of those are told at most. Neither changes a result.
 SAMPLE, COMMON = 20_000, 100_000
+#: Sets that are compared with one other at once.
+CHUNK = 1000
 
 
 def shingles(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
     """Hashes of a text's distinct shingles, as signed integers in order."""
-    split = (text or "").encode("utf-8", "replace").lower().split()
-    n = max(len(split) - words + 1, min(1, len(split)))
-    joined = b" ".join(split)
-    ends = list(accumulate((len(w) + 1 for w in split), initial=0))
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(ends[:n], ends[min(words, len(split)) :], strict=False)]), ">i8").astype(np.int64))
+    return _distinct(b"".join(_digests(_split(text), words)))
+
+
+def _distinct(hashes: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(hashes, ">i8").astype(np.int64))
 
 
 def _print(found: np.ndarray) -> int:
@@ -139,35 +274,84 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, print of the set of shingles, its size, and its prefix: with any one order of all shingles, here the rare ones
-    first, sets at the least similarity share one of the first size - least share + 1."""
+    """doc_id, fingerprint, print of the set of shingles, its size, and its prefix: with any one order of all shingles, here the
+    rare ones first, sets at the least similarity share one of the first size - least share + 1."""
     prepare(docs.sparkSession)
     known, often = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sizes, firsts = [], [], []
+            fps, prints, sizes, firsts = [], [], [], []
             for x in b.column(1).to_pylist():
-                own = shingles(x)
+                hashes = list(_digests(_split(x), STAGE_WORDS))
+                own = _distinct(b"".join(hashes))
                 count = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     count = np.where(known[at] == own, often[at], 0)
+                fps.append(_vote(iter(hashes)))
                 prints.append(_print(own))
                 sizes.append(len(own))
                 firsts.append(own[np.lexsort((own, count))][: len(own) - (PART * len(own) + OF - 1) // OF + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts)], ["doc_id", "print", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts)], ["doc_id", "fp", "print", "size", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, print long, size int, prefix array<long>")
+
+
+def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b: prints of nodes) whose sets have the least similarity. Each b's text meets the texts of up to CHUNK
+    of its partners in one task; no other text is moved."""
+    spark = docs.sparkSession
+    pairs = pairs.withColumn("n", F.count("*").over(Window.partitionBy("b")))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    members = pairs.select(F.col("a").alias("print"), "b", F.pmod(F.xxhash64("a"), chunks).cast("int").alias("chunk"), F.lit(1).alias("place"))
+    heads = pairs.select("b", chunks.alias("n")).distinct().select(F.col("b").alias("print"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), F.lit(0).alias("place"))
+    where = stored(members.unionByName(heads).join(nodes.select("print", "doc_id"), "print"), "where")
+    texts = docs.select("doc_id", "text").join(few(where.where("doc_id IS NOT NULL")), "doc_id").select("b", "chunk", "place", "print", "text")
+    lone = where.where("doc_id IS NULL").drop("doc_id")
+    if not lone.isEmpty():
+        own = docs.where("doc_id IS NULL").select("text", _print_of("text").alias("print")).dropDuplicates(["print"])
+        texts = texts.unionByName(own.join(lone, "print").select("b", "chunk", "place", "print", "text"))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print long, size int, prefix array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, None
+        for batch in batches:
+            a, b = [], []
+            for key, chunk, place, name, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if place == 0 and (key, chunk) == head and own is not None:
+                    continue
+                found = shingles(text)
+                if _print(found) != name:  # another row of this doc_id
+                    continue
+                if place == 0:
+                    head, own = (key, chunk), found
+                elif (key, chunk) == head:
+                    both = len(np.intersect1d(own, found, assume_unique=True))
+                    if OF * both >= PART * (len(own) + len(found) - both):
+                        a.append(name), b.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    prepare(spark)
+    dealt = texts.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "place")
+    out = stored(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
+    forget(where)
+    return out
 
 
 def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Links (a, b) of prints, whose components are those of all pairs at the least similarity.
 
-    Prints that share a shingle of their prefixes are compared with the smallest of them; then the pairs that share one and
-    that these links leave apart. So a large group of near copies is compared with one of them, not each with each.
+    First those that the grid of fingerprints proposes; then prints that share a shingle of their prefixes, each with the
+    smallest of them; then the pairs that share one and that these links leave apart. So a large group of near copies is
+    compared with one of them, not each with each.
     """
-    nodes = prints.where("size > 0").groupBy("print").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id"))
+    nodes = stored(prints.where("size > 0").groupBy("print").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "nodes")
+    same = nodes.groupBy("fp").agg(F.min("print").alias("low"))
+    close = components(near_links(same.select("fp"))).withColumnRenamed("node", "fp")
+    named = nodes.select("print", "fp").join(close, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    low = named.groupBy("root").agg(F.min("print").alias("b"))
+    links = checked(docs, nodes, named.join(low, "root").where("print != b").select(F.col("print").alias("a"), "b"))
+
     rows = nodes.select("print", "size", F.posexplode("prefix").alias("at", "h"))
     by = Window.partitionBy("h")
     rows = rows.withColumns({"n": F.count("*").over(by), "low": F.min(F.struct("print", "size", "at")).over(by)})
@@ -178,49 +362,52 @@ def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
         most = F.least(F.col(a) - F.col(i), F.col(b) - F.col(j))
         return (OF + PART) * most >= PART * (F.col(a) + F.col(b))
 
-    ids = nodes.join(shared.select("print").distinct().hint("shuffle_hash"), "print", "left_semi").select(F.col("doc_id").alias("_doc")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(x) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_print(x) for x in sets], pa.int64()), _lists(sets)], ["print", "hashes"])
-
-    texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
-    sets = stored(texts.mapInArrow(run, "print long, hashes array<long>").dropDuplicates(["print"]), "sets")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "ha").hint("shuffle_hash"), "a").join(sets.toDF("b", "hb").hint("shuffle_hash"), "b")
-        least = OF * F.size(F.array_intersect("ha", "hb")) >= PART * F.size(F.array_union("ha", "hb"))
-        return both.where(least).select("a", "b")
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs that the links so far leave apart."""
+        for x in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+        return pairs.where("ra != rb").select("a", "b")
 
     first = shared.select(F.col("print").alias("a"), "size", "at", F.col("low.print").alias("b"), F.col("low.size").alias("s"), F.col("low.at").alias("j")).where(F.col("a") != F.col("b"))
-    links = stored(checked(first.where(near("size", "s", "at", "j")).select("a", "b").distinct()), "links")
-    roots = components(links)
+    first = first.where(near("size", "s", "at", "j")).select("a", "b").distinct()
+    links = links.unionByName(checked(docs, nodes, apart(first, components(links))))
+    roots = stored(components(links), "roots")
     long = shared.drop("low").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    mixed = F.min("root").over(by) != F.max("root").over(by)
+    long = long.withColumn("mixed", mixed).where("mixed").drop("mixed")
     a, b = long.toDF("a", "sa", "i", "h", "ra"), long.toDF("b", "sb", "j", "h", "rb")
     rest = a.hint("merge").join(b, (a["h"] == b["h"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("sa", "sb", "i", "j"))
-    return links.unionByName(checked(rest.select("a", "b").distinct()))
+    return links.unionByName(checked(docs, nodes, rest.select("a", "b").distinct()))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component, that of the smallest doc_id; of rows with the same doc_id, one; of a component
-    without a doc_id, one."""
+    """Keep one row of each component: of the smallest doc_id, rows without one last, and of this doc_id's texts that with the
+    smallest hash. Rows of one doc_id with texts of different components are documents of their own."""
     prints = stored(shingle_prefixes(docs), "prints")
     roots = components(similar(docs, prints)).toDF("print", "root")
     found = prints.select("doc_id", "print").join(roots, "print", "left").select("doc_id", "print", F.coalesce("root", "print").alias("root"))
-    heads = found.groupBy("root").agg(F.min("doc_id").alias("head"))
-    found = stored(found.join(heads, "root"), "near")
-    keep = stored(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("_rows"), F.bool_or(F.col("doc_id") == F.col("head")).alias("_head")).where("_head").drop("_head"), "heads")
-    kept = docs.join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"))
-    out = kept.select(docs.columns)
-    if not keep.where("_rows > 1").isEmpty():
-        out = kept.where("_rows = 1").select(docs.columns).unionByName(kept.where("_rows > 1").select(docs.columns).dropDuplicates(["doc_id"]))
-    lone = found.where("head IS NULL").groupBy("root").agg(F.min("print").alias("_print"))
-    if not lone.isEmpty():
-        rows = docs.where("doc_id IS NULL").withColumn("_own", _print_of("text")).join(lone.select("_print"), F.col("_own") == F.col("_print"))
-        out = out.unionByName(rows.dropDuplicates(["_own"]).select(docs.columns))
+    heads = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("x")).select("x.doc_id", "x.print")
+    heads = stored(heads, "heads")
+    ids = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    picked = heads.where("doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("head")).distinct()
+    # what goes is less than what stays: ids that are no head, or of several rows
+    odd = stored(ids.join(picked, "doc_id", "left").where("n > 1 OR head IS NULL"), "odd")
+    go = few(odd.select("doc_id"))
+    out = docs.where(docs["doc_id"].isNotNull()).join(go, docs["doc_id"] == go["doc_id"], "left_anti")
+    several = odd.where("n > 1 AND head").select("doc_id")
+    by_text = stored(heads.join(several, "doc_id", "left_semi").unionByName(heads.where("doc_id IS NULL")).select(F.col("doc_id").alias("id"), "print"), "by_text")
+    if not by_text.isEmpty():
+        more = few(several)
+        rows = docs.join(more, docs["doc_id"] == more["doc_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+        rows = rows.withColumn(_OWN, _print_of("text"))
+        kept = few(by_text)
+        rows = rows.join(kept, (rows[_OWN] == kept["print"]) & rows["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+        out = out.unionByName(rows.dropDuplicates(["doc_id", _OWN]).drop(_OWN))
     return out
 
 
+_OWN = "__own_print"
+
+
 def _print_of(column: str) -> F.Column:
-    return F.udf(lambda x: _print(shingles(x)), "long")(F.col(column))
+    return F.pandas_udf(lambda x: x.map(lambda t: _print(shingles(t))), "long")(F.col(column))

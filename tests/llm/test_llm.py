@@ -75,22 +75,57 @@ def test_simhash_print(text):
     assert simhash.fingerprint(text) % (1 << 64) == plain_print(text)
 
 
-def test_simhash_pairs(spark):
+def united(n, pairs):
+    root = list(range(n))
+    for i, j in pairs:
+        low, high = sorted((root[i], root[j]))
+        if low != high:
+            root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("most", [simhash.MOST, 5])
+def test_simhash_links(spark, most):
     pick = np.random.default_rng(1)
     base = pick.integers(0, 1 << 63, 60, dtype=np.int64)
     prints = set(base.tolist())
     for x in base.tolist():
-        for n in (1, 3, 4, 5):
+        for n in (1, 2, 2, 3, 4, 4, 4, 5):
             prints.add(x ^ sum(1 << int(b) for b in pick.choice(63, n, replace=False)))
+    for n in range(1, 40):  # a chain
+        prints.add(sum(1 << k for k in range(n)))
     prints = sorted(prints)
-    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
-    found = {tuple(sorted(r)) for r in simhash.near_pairs(nodes).collect()}
-    assert found == {(i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    want = united(len(prints), [(i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    nodes = spark.createDataFrame([(x,) for x in prints], "fp long").repartition(3)
+    got = {r["node"]: r["root"] for r in common.components(simhash.near_links(nodes, most=most)).collect()}
+    assert [prints.index(got.get(x, x)) for x in prints] == want
+
+
+def test_simhash_crowded_cells_give_a_link_for_each_fingerprint(spark):
+    pick = np.random.default_rng(2)
+    prints = {int(sum(1 << int(b) for b in pick.choice(63, pick.integers(0, 3), replace=False))) for _ in range(20_000)}
+    assert len(prints) > 1900
+    nodes = spark.createDataFrame([(x,) for x in prints], "fp long")
+    links = simhash.near_links(nodes)
+    assert links.count() < 110 * len(prints)
+    roots = common.components(links).collect()
+    assert len(roots) == len(prints) and len({r["root"] for r in roots}) == 1
+
+
+def test_simhash_texts_of_one_doc_id_are_apart(spark):
+    a, b = "the cat sat on the mat " * 30, "a dog ran off with all of it " * 30
+    rows = [(5, a), (5, b), (3, b.replace("dog", "fox", 1)), (7, a), (None, a), (9, None), (9, None)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = {(r["doc_id"], r["fp"]): r["component_id"] for r in found}
+    assert len(found) == len(rows)
+    assert near[7, simhash.fingerprint(a)] == near[5, simhash.fingerprint(a)] == near[None, simhash.fingerprint(a)] == 5
+    assert near[5, simhash.fingerprint(b)] == 3 and near[9, 0] == 9
 
 
 def test_simhash_components_and_stage(docs, empty, spark):
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert found[9] == found[4] and found[0] == found[1] == found[2] == 0
+    assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.stage(spark, docs, "")
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
