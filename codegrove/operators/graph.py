@@ -79,6 +79,48 @@ def properties_by_group(t: Terminology, *, expand: bool = False) -> DataFrame:
     return by_group.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("relationship_group", "types"))).alias("properties"))
 
 
+def properties_unwrapped(t: Terminology, *, expand: bool = False) -> DataFrame:
+    """source_id, relationship_group, type_id, values, and single: whether there is one value and the concept model's mandatory rule
+    for the attribute in one of the concept's domains allows no more (with `expand`, of literals only). Then the value stands alone."""
+    from .mrcm import MANDATORY, attribute_domains, concept_domains
+
+    value = F.coalesce("literal", F.col("target").cast("string"))
+    rows = properties(t, expand=expand).groupBy("source_id", "relationship_group", "type_id").agg(F.sort_array(F.collect_set(value)).alias("values"), F.bool_and(F.col("literal").isNotNull()).alias("literals"))
+    one = lambda c: F.col(c).isin("0..1", "1..1")
+    rules = attribute_domains(t).where(F.col("rule_strength_id") == MANDATORY).select("domain_id", F.col("attribute_id").alias("type_id"), one("attribute_cardinality").alias("alone"), one("attribute_in_group_cardinality").alias("grouped_alone"))
+    per = concept_domains(t).join(rules, "domain_id").groupBy(F.col("concept_id").alias("source_id"), "type_id").agg(F.bool_or("alone").alias("alone"), F.bool_or("grouped_alone").alias("grouped_alone"))
+    fits = F.when(F.col("relationship_group") == 0, F.col("alone")).otherwise(F.col("grouped_alone"))
+    single = (F.size("values") == 1) & F.coalesce(fits, F.lit(False)) & (F.col("literals") if expand else F.lit(True))
+    return rows.join(per, ["source_id", "type_id"], "left").select("source_id", "relationship_group", "type_id", "values", single.alias("single"))
+
+
+#: How readable_properties() writes a concept: by its id, its synonym, or both.
+FORMATS = ("id", "syn", "str-id-syn", "vec-id-syn", "map-id-syn")
+
+
+def readable_properties(t: Terminology, refsets: list[int], *, key: str = "str-id-syn", value: str = "str-id-syn") -> DataFrame:
+    """source_id, relationship_group, attribute and value as text: concepts by id, synonym or both, literals as they are."""
+    from .lookups import preferred_synonym
+
+    if key not in FORMATS or value not in FORMATS:
+        raise ValueError(f"formats are {', '.join(FORMATS)}")
+    names = preferred_synonym(t, refsets).select("concept_id", "term")
+
+    def shown(c: str, term: str, how: str) -> F.Column:
+        number, text = F.col(c).cast("string"), F.coalesce(term, F.lit(""))
+        return {"id": number, "syn": text, "str-id-syn": F.concat_ws(" ", number, text), "vec-id-syn": F.concat(F.lit("["), number, F.lit(' "'), text, F.lit('"]')), "map-id-syn": F.concat(F.lit("{"), number, F.lit(' "'), text, F.lit('"}'))}[how]
+
+    rows = properties(t).join(names.toDF("type_id", "type_term"), "type_id", "left").join(names.toDF("target", "target_term"), "target", "left")
+    shown_value = F.when(F.col("target").isNotNull(), shown("target", "target_term", value)).otherwise(F.col("literal"))
+    return rows.select("source_id", "relationship_group", shown("type_id", "type_term", key).alias("attribute"), shown_value.alias("value"))
+
+
+def some_indexed(t: Terminology, concepts: DataFrame, refset_id: int) -> DataFrame:
+    """The concepts that are members of a reference set."""
+    rows = t.member.where(F.col("refset_id") == refset_id).select(F.col("referenced_component_id").alias("id"))
+    return concepts.select("id").distinct().join(rows, "id", "left_semi")
+
+
 def properties_by_type(t: Terminology) -> DataFrame:
     """source_id, type_id and a map from group to concept values."""
     by_group = t.edge.groupBy("source_id", "type_id", "relationship_group").agg(F.sort_array(F.collect_set("destination_id")).alias("values"))

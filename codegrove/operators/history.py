@@ -41,6 +41,12 @@ def source_historical(t: Terminology, concepts: DataFrame, refsets: DataFrame |
     return rows.join(concepts.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id")).distinct()
 
 
+def source_associations(t: Terminology, concepts: DataFrame) -> DataFrame:
+    """target_id, refset_id and the sources of the historical associations to the given concepts."""
+    rows = historical_associations(t).join(concepts.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    return rows.groupBy("target_id", "refset_id").agg(F.sort_array(F.collect_set("source_id")).alias("sources"))
+
+
 def with_historical(t: Terminology, concepts: DataFrame, refsets: DataFrame | None = None) -> DataFrame:
     """The concepts, their associations' targets, and all that have associations to these. By default of all but the moved ones."""
     if refsets is None:
@@ -59,6 +65,33 @@ def association_counts(t: Terminology) -> DataFrame:
     return counts.groupBy("associations").agg(F.count("*").alias("concepts"))
 
 
+def example_associations(t: Terminology, refset_id: int, n: int) -> DataFrame:
+    """source_id, refset_id and target_id: all historical associations of the n inactive concepts with the lowest ids that have one of the given kind."""
+    inactive = t.concept.where("NOT active").select(F.col("id").alias("source_id"))
+    some = t.association.where(F.col("refset_id") == refset_id).join(inactive, "source_id", "left_semi").select("source_id").distinct().orderBy("source_id").limit(n)
+    return historical_associations(t).join(some, "source_id", "left_semi")
+
+
+def _targets(t: Terminology, refset_id: int) -> DataFrame:
+    return t.association.where(F.col("refset_id") == refset_id).groupBy("source_id").agg(F.sort_array(F.collect_set("target_id")).alias("targets"))
+
+
+def same_as(t: Terminology) -> DataFrame:
+    """source_id and the concepts it is now thought to be the same as."""
+    return _targets(t, ids.SAME_AS)
+
+
+def possibly_equivalent(t: Terminology) -> DataFrame:
+    """source_id and the concepts it may be equivalent to."""
+    return _targets(t, ids.POSSIBLY_EQUIVALENT)
+
+
+def moved_to(t: Terminology) -> DataFrame:
+    """source_id and the namespace it moved to, by the first of its items."""
+    rows = t.association.where(F.col("refset_id") == ids.MOVED_TO)
+    return rows.groupBy("source_id").agg(F.min_by("target_id", "id").alias("target_id"))
+
+
 def replaced_by(t: Terminology) -> DataFrame:
     """source_id and the target of its latest active replacement."""
     rows = t.association.where(F.col("refset_id") == ids.REPLACED_BY)

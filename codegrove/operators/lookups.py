@@ -14,6 +14,31 @@ def by_id(rows: DataFrame, *values: int | str) -> DataFrame:
     return rows.where(F.col("id").isin(*values))
 
 
+def first_ids(t: Terminology, n: int) -> DataFrame:
+    """The n lowest concept ids."""
+    return t.concept.select("id").orderBy("id").limit(n)
+
+
+def concept_flags(t: Terminology) -> DataFrame:
+    """id, defined and primitive of every concept."""
+    return t.concept.select("id", *[F.coalesce(F.col("definition_status_id") == v, F.lit(False)).alias(n) for n, v in (("defined", ids.DEFINED), ("primitive", ids.PRIMITIVE))])
+
+
+def description_flags(t: Terminology) -> DataFrame:
+    """id, is_fsn, is_synonym and is_definition of every description."""
+    return t.description.select("id", *[F.coalesce(F.col("type_id") == v, F.lit(False)).alias(n) for n, v in (("is_fsn", ids.FSN), ("is_synonym", ids.SYNONYM), ("is_definition", ids.DEFINITION))])
+
+
+def concepts_of(t: Terminology, described: DataFrame) -> DataFrame:
+    """description_id and concept_id of the descriptions (id) that the search table has."""
+    return t.substrate.select("description_id", "concept_id").join(described.select(F.col("id").alias("description_id")), "description_id", "left_semi")
+
+
+def language_refsets(t: Terminology) -> DataFrame:
+    """Installed language reference sets: those with a member that has an acceptability."""
+    return t.refset_member.where("acceptability_id IS NOT NULL").select("refset_id").distinct()
+
+
 def descriptions(t: Terminology, concepts: DataFrame) -> DataFrame:
     return t.description.join(concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").orderBy("concept_id", "id")
 
@@ -50,8 +75,14 @@ def preferred_synonym(t: Terminology, refsets: list[int]) -> DataFrame:
     return preferred_description(t, ids.SYNONYM, refsets)
 
 
-def fully_specified_name(t: Terminology, refsets: list[int]) -> DataFrame:
-    return preferred_description(t, ids.FSN, refsets)
+def fully_specified_name(t: Terminology, refsets: list[int], *, fallback: bool = True) -> DataFrame:
+    """concept_id, description_id and term: the preferred one; with `fallback`, for a concept without, its first active one, else its first."""
+    found = preferred_description(t, ids.FSN, refsets)
+    if not fallback:
+        return found
+    rest = t.description.where(F.col("type_id") == ids.FSN).join(found.select("concept_id"), "concept_id", "left_anti")
+    other = rest.groupBy("concept_id").agg(F.min(F.struct((~F.col("active")).alias("off"), "id", "term")).alias("x")).select("concept_id", F.col("x.id").alias("description_id"), F.col("x.term").alias("term"))
+    return found.unionByName(other)
 
 
 def release_information(t: Terminology) -> DataFrame:
@@ -115,3 +146,18 @@ def module_dependencies(t: Terminology) -> DataFrame:
     versions = versions.unionByName(model.join(versions.select("module_id"), "module_id", "left_anti"))
     found = rows.join(versions.toDF("needs", "version"), "needs", "left")
     return found.withColumn("valid", F.coalesce(F.col("version") >= F.col("target_effective_time"), F.lit(False)))
+
+
+def module_versions(t: Terminology, refsets: list[int]) -> DataFrame:
+    """module_id, name and version of each module that has dependency items."""
+    rows = t.member.where("target_effective_time IS NOT NULL").groupBy("module_id").agg(F.max("source_effective_time").alias("version"))
+    names = fully_specified_name(t, refsets).select(F.col("concept_id").alias("module_id"), F.col("term").alias("name"))
+    return rows.join(names, "module_id", "left").select("module_id", "name", "version")
+
+
+def module_dependency_problems(t: Terminology, refsets: list[int]) -> DataFrame:
+    """Each dependency item that the installed modules do not meet, with both modules' names, the version needed and that installed."""
+    names = fully_specified_name(t, refsets).select(F.col("concept_id").alias("k"), "term")
+    rows = module_dependencies(t).where("NOT valid")
+    out = rows.join(names.toDF("module_id", "name"), "module_id", "left").join(names.toDF("needs", "needs_name"), "needs", "left")
+    return out.select("module_id", "name", "source_effective_time", "needs", "needs_name", "target_effective_time", F.col("version").alias("installed"))

@@ -40,12 +40,36 @@ def attribute_ranges(t: Terminology) -> DataFrame:
     return best.select(F.col("referenced_component_id").alias("attribute_id"), "content_type_id", "x.*")
 
 
-def allowed_attributes(t: Terminology, concepts: DataFrame) -> DataFrame:
+#: Kinds of content that a rule is for, the most general last.
+POSTCOORDINATED, PRECOORDINATED, NEW_PRECOORDINATED, ALL_CONTENT = 723595009, 723594008, 723593002, 723596005
+
+
+def ranges_for(t: Terminology, content: int = POSTCOORDINATED) -> DataFrame:
+    """One range rule an attribute: for the given kind of content, else for all content, else the newest of another kind."""
+    rows = t.member.where("range_constraint IS NOT NULL")
+    fit = F.when(F.col("content_type_id") == content, 2).when(F.col("content_type_id") == ALL_CONTENT, 1).otherwise(0)
+    best = rows.groupBy(F.col("referenced_component_id").alias("attribute_id")).agg(F.max_by("range_constraint", F.struct(fit, "effective_time", "id")).alias("range_constraint"))
+    return best.select("attribute_id", "range_constraint")
+
+
+def allowed_attributes(t: Terminology, concepts: DataFrame, content: int = POSTCOORDINATED) -> DataFrame:
     """id, attribute_id, grouped and range_constraint of what the concepts may have."""
     per = concept_domains(t).join(concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi")
-    rules = attribute_domains(t).select("domain_id", "attribute_id", "grouped")
-    ranges = attribute_ranges(t).groupBy("attribute_id").agg(F.min("range_constraint").alias("range_constraint"))
-    return per.join(rules, "domain_id").join(ranges, "attribute_id", "left").select(F.col("concept_id").alias("id"), "attribute_id", "grouped", "range_constraint").distinct()
+    rules = attribute_domains(t).where(F.col("content_type_id").isNull() | F.col("content_type_id").isin(content, ALL_CONTENT)).select("domain_id", "attribute_id", "grouped")
+    return per.join(rules, "domain_id").join(ranges_for(t, content), "attribute_id", "left").select(F.col("concept_id").alias("id"), "attribute_id", "grouped", "range_constraint").distinct()
+
+
+def refinements(t: Terminology, concepts: DataFrame, refsets: list[int], content: int = POSTCOORDINATED) -> DataFrame:
+    """allowed_attributes with the attributes' preferred synonyms."""
+    from .lookups import preferred_synonym
+
+    names = preferred_synonym(t, refsets).select(F.col("concept_id").alias("attribute_id"), F.col("term").alias("attribute_term"))
+    return allowed_attributes(t, concepts, content).join(names, "attribute_id", "left").select("id", "attribute_id", "attribute_term", "grouped", "range_constraint")
+
+
+def module_scope(t: Terminology) -> DataFrame:
+    """module_id and the rule reference sets that hold for it."""
+    return t.member.where("mrcm_rule_refset_id IS NOT NULL").select(F.col("referenced_component_id").alias("module_id"), F.col("mrcm_rule_refset_id").alias("refset_id")).distinct()
 
 
 def in_range(t: Terminology, pairs: DataFrame) -> DataFrame:

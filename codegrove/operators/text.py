@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..plans import ids
 from ..plans.model import Terminology
+from ..plans.storage import stored
 
 #: Characters that a language keeps when folding.
 KEPT = {"da": "æøåÆØÅ", "no": "æøåÆØÅ", "nb": "æøåÆØÅ", "nn": "æøåÆØÅ", "sv": "åäöÅÄÖ", "fi": "åäöÅÄÖ"}
@@ -44,15 +45,19 @@ def token_column(folded: Column) -> Column:
     return F.regexp_extract_all(F.lower(folded), F.lit(r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"), 0)
 
 
-def searchable(t: Terminology) -> DataFrame:
-    """The substrate with its folded tokens. Terms in plain ASCII need no Python."""
+def with_tokens(rows: DataFrame) -> DataFrame:
+    """rows (term, language_code; others stay) with the folded term and its tokens. Terms in plain ASCII need no Python."""
     plain = F.col("term").rlike(r"^[\x00-\x7F]*$")
-    rows = t.substrate
     ascii_rows = rows.where(plain).withColumn("folded", F.col("term"))
-    other = rows.where(~plain).withColumn("folded", fold_column("term", "language_code"))
+    other = rows.where(~plain | plain.isNull()).withColumn("folded", fold_column("term", "language_code"))
     return ascii_rows.unionByName(other).withColumn("tokens", token_column(F.col("folded")))
 
 
+def searchable(t: Terminology) -> DataFrame:
+    """The substrate, whose tokens are stored with it."""
+    return t.substrate
+
+
 def matches(query: str, *, fuzzy: int = 0, language: str | None = None) -> Column | None:
     """All of the query's tokens begin one of the term's, or are within `fuzzy` (2 at most) edits of one. None for a query without tokens."""
     def one(q: str) -> Column:
@@ -109,10 +114,34 @@ def search(t: Terminology, query: str | None = None, *, max_hits: int | None = N
 
 
 def consecutive_distinct(rows: DataFrame, order: list) -> DataFrame:
-    """Rows without those that have the same concept and term as the row before them in an order. For results of bounded size: they are ordered in one task."""
-    w = Window.orderBy(*order)
-    same = (F.lag("concept_id").over(w) == F.col("concept_id")) & (F.lag("term").over(w) == F.col("term"))
-    return rows.withColumn("_same", F.coalesce(same, F.lit(False))).where("NOT _same").drop("_same")
+    """Rows without those that have the same concept and term as the row before them in an ascending order.
+
+    Rows are dealt by ranges of the order and compared inside these; the first of a range is compared with the last of the
+    range before, of which there is one for each range.
+    """
+    keys = [(F.col(k) if isinstance(k, str) else k).alias(f"__k{i}") for i, k in enumerate(order)]
+    names = [f"__k{i}" for i in range(len(keys))]
+    dealt = rows.select(*rows.columns, *keys).repartitionByRange(*names).sortWithinPartitions(*names)
+    dealt = stored(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    same = lambda a, b: F.coalesce((a == F.col("concept_id")) & (b == F.col("term")), F.lit(False))
+    w = Window.partitionBy("__range").orderBy(*names)
+    marked = dealt.withColumns({"__first": F.row_number().over(w) == 1, "__same": same(F.lag("concept_id").over(w), F.lag("term").over(w))})
+    # one row a range
+    ends = dealt.groupBy("__range").agg(F.max_by(F.struct("concept_id", "term"), F.struct(*names)).alias("x"))
+    before = ends.select((F.lead("__range").over(Window.orderBy("__range"))).alias("__range"), F.col("x.concept_id").alias("__c"), F.col("x.term").alias("__t")).where("__range IS NOT NULL")
+    both = marked.join(F.broadcast(before), "__range", "left")
+    return both.where(~F.when(F.col("__first"), same(F.col("__c"), F.col("__t"))).otherwise(F.col("__same"))).select(*rows.columns)
+
+
+def search_concept_ids(t: Terminology, concepts: DataFrame, refsets: list[int], *, fallback: list[int] | None = None) -> DataFrame:
+    """id, description_id, term and preferred_term of each concept's preferred synonym in the first language reference set that has
+    one, else in the fallback's; null where there is none. A concept given twice has two rows."""
+    from .lookups import preferred_synonym
+
+    order = dict.fromkeys([*refsets, *(fallback if fallback is not None else [ids.EN_US])])
+    names = preferred_synonym(t, list(order))
+    out = concepts.select("id").join(names.withColumnRenamed("concept_id", "id"), "id", "left")
+    return out.select("id", "description_id", "term", F.col("term").alias("preferred_term"))
 
 
 def ranked_search(t: Terminology, query: str, *, max_hits: int = 500, constraint: DataFrame | None = None, **options) -> DataFrame:

@@ -43,6 +43,8 @@ class Node:
 
 _OPERATORS = ["<<!", ">>!", "!!>", "!!<", "<<", ">>", "<!", ">!", "<", ">"]
 _COMPARE = ["<=", ">=", "!=", "<>", "=", "<", ">"]
+#: Keywords of filters, in any case.
+_KEYWORDS = {x.lower(): x for x in ("term", "type", "typeId", "dialect", "dialectId", "active", "moduleId", "effectiveTime", "language", "definitionStatus", "definitionStatusId", "id")}
 
 
 class Parser:
@@ -188,7 +190,7 @@ class Parser:
                 inner = self.joined(self.sub_attribute)
                 self.need(")")
                 if not self.compare_ahead():
-                    return inner
+                    return Node("set", {"of": inner})  # attribute sets in a group are not evaluated
             except EclError as e:
                 if e.kind != "syntax-error":
                     raise
@@ -244,11 +246,51 @@ class Parser:
             items.append(self.filter_item())
         return Node({"D": "descriptions", "C": "concepts", "M": "members"}[letter.upper()], {"items": items})
 
+    def acceptability(self) -> list[int] | None:
+        """A set of acceptabilities in parentheses, by token or id; None if there is none."""
+        at = self.i
+        if not self.take("("):
+            return None
+        out = []
+        while not self.take(")"):
+            if (word := self.match(r"(?i:accept\w*|prefer\w*)")) is not None:
+                out.append(ids.PREFERRED if word.lower().startswith("prefer") else ids.ACCEPTABLE)
+            elif self.match(r"(?=[0-9])") is not None:
+                out.append(self.concept().id)
+            else:
+                self.i = at
+                raise self.fail("expected an acceptability")
+        if not out:
+            raise self.fail("expected an acceptability")
+        return out
+
+    def id_set(self, dialect: bool) -> list[Node] | None:
+        """Concepts in parentheses without an operator between them, each of a dialect with acceptabilities if need be; None where there is no such set."""
+        at, out = self.i, []
+        if not self.take("("):
+            return None
+        while self.match(r"(?=[0-9])") is not None:
+            focus = self.concept()
+            x = Node("expression", {"of": Node("sub", {"op": None, "member": False, "fields": None, "focus": focus, "filters": []})})
+            if dialect and self.peek("("):
+                x.args["acceptability"] = self.acceptability()
+            out.append(x)
+        if self.take(")") and (len(out) > 1 or (out and dialect)):
+            return out
+        self.i = at
+        return None
+
     def filter_item(self) -> Node:
         name = self.match(r"[A-Za-z]+")
         op = next((x for x in _COMPARE if self.take(x)), None)
         if name is None or op is None:
             raise self.fail("expected a filter")
+        name, op = _KEYWORDS.get(name.lower(), name), "!=" if op == "<>" else op
+        dialect = name in ("dialect", "dialectId")
+        if name == "active" and (x := self.match(r"[01](?=\s*(?:,|\}))")) is not None:
+            return Node("item", {"name": name, "op": op, "values": [Node("flag", {"value": x == "1"})], "kinds": ["match"]})
+        if (several := self.id_set(dialect)) is not None:
+            return Node("item", {"name": name, "op": op, "values": self.accepted(several) if dialect else several, "kinds": ["match"] * len(several)})
         values, kinds = [], []
         many = self.peek("(") and not self.peek("(<")
         at = self.i
@@ -268,27 +310,27 @@ class Parser:
             x = self.literal()
             if x is None and (w := self.match(r"[A-Za-z][\w-]*(?=[\s,)}(])")) is not None:
                 x = Node("word", {"value": w.lower()})
-                if self.take("("):
-                    if (a := self.match(r"(?i:accept\w*|prefer\w*)")) is None:
-                        raise self.fail("expected an acceptability")
-                    x.args["acceptability"] = a.lower()
-                    self.need(")")
-            if x is None:
+            elif x is None:
                 if many and values:
                     break
                 if many:
                     self.i, many = at, False
                 x = Node("expression", {"of": self.sub()})
-                if self.take("("):
-                    a = self.match(r"(?i:accept\w*|prefer\w*)")
-                    x.args["acceptability"] = (a or "").lower()
-                    self.need(")")
+            if dialect and many and self.peek("("):
+                x.args["acceptability"] = self.acceptability()
             values.append(x), kinds.append((k or "match").lower())
             if not many or self.peek(")"):
                 break
         if many:
             self.need(")")
-        return Node("item", {"name": name, "op": "!=" if op == "<>" else op, "values": values, "kinds": kinds})
+        return Node("item", {"name": name, "op": op, "values": self.accepted(values) if dialect else values, "kinds": kinds})
+
+    def accepted(self, dialects: list[Node]) -> list[Node]:
+        """Acceptabilities behind the whole filter are those of the dialects without their own."""
+        common = self.acceptability()
+        for x in dialects:
+            x.args.setdefault("acceptability", common)
+        return dialects
 
 
 def parse(source: str, *, check_ids: bool = True) -> Node:
@@ -406,7 +448,7 @@ class Evaluator:
                 refsets = self.realise(self.eval(f.subset)) if f.subset else history.profile(self.t, f.name)
                 out = self.lift(history.with_historical(self.t, self.realise(out), refsets))
             elif f.kind != "members":
-                out = self.both(out, self.filtered(f))
+                out = self.both(out, self.filtered(f, narrowed=not out.everything))
         return out
 
     def any(self, op: str | None) -> Rows:
@@ -445,7 +487,7 @@ class Evaluator:
             found = graph.top_leaves(t, s)
         return self.lift(found)
 
-    def filtered(self, f: Node) -> Rows:
+    def filtered(self, f: Node, *, narrowed: bool) -> Rows:
         sub = self.t.substrate
         if f.kind == "concepts":
             for x in f.items:
@@ -456,7 +498,7 @@ class Evaluator:
             if any(x.name == "term" for x in f.items):
                 sub = text.searchable(self.t)
             for x in f.items:
-                sub = self.described(sub, x)
+                sub = self.described(sub, x, narrowed)
         return Rows(sub.select("description_id", "concept_id"))
 
     def flag(self, x: Node) -> bool:
@@ -466,15 +508,15 @@ class Evaluator:
             raise EclError("invalid-value", f"{x.name} {x.op}")
         return value if x.op == "=" else not value
 
-    def described(self, sub: DataFrame, x: Node) -> DataFrame:
+    def described(self, sub: DataFrame, x: Node, narrowed: bool) -> DataFrame:
         if x.name == "term":
             out = F.lit(False)
             for v, how in zip(x.values, x.kinds, strict=True):
                 if v.kind != "string":
                     raise EclError("syntax-error", "a term is quoted")
                 if how == "wild":
-                    if not re.search(r"\w", v.value):
-                        raise EclError("invalid-value", "a wildcard without letters")
+                    if not narrowed and not re.search(r"[^\W_]", v.value):
+                        raise EclError("invalid-value", "a wildcard without letters over all descriptions")
                     one = F.lower("folded").rlike(wildcard(text.fold(v.value).lower(), single=False))
                 else:
                     one = text.matches(v.value)
@@ -497,14 +539,13 @@ class Evaluator:
             for v in x.values:
                 if v.kind == "word":
                     if dialect(v.value) is None:
-                        raise EclError("invalid-value", f"unknown dialect {v.value}")
+                        raise EclError("not-found", f"unknown dialect {v.value}")
                     refset = self.t.ids(dialect(v.value))
                 else:
-                    refset = self.realise(self.eval(v.of))
+                    refset = self.named(v)
                 m = self.t.member.join(refset.select(F.col("id").alias("refset_id")), "refset_id", "left_semi")
-                a = v.args.get("acceptability")
-                if a:
-                    m = m.where(F.col("acceptability_id") == (ids.PREFERRED if a.startswith("prefer") else ids.ACCEPTABLE))
+                if v.args.get("acceptability"):
+                    m = m.where(F.col("acceptability_id").isin(v.acceptability))
                 m = m.select(F.col("referenced_component_id").alias("description_id"))
                 out = m if out is None else out.union(m)
             return sub.join(out.distinct(), "description_id", "left_semi")
@@ -515,14 +556,17 @@ class Evaluator:
     def values(self, x: Node) -> DataFrame:
         out = None
         for v in x.values:
-            one = self.realise(self.eval(v.of)) if v.kind == "expression" else None
-            if one is None:
+            if v.kind != "expression":
                 raise EclError("invalid-value", f"{x.name} takes concepts")
-            if v.of.focus.kind == "concept" and not v.of.op and not v.of.member:
-                one = self.t.ids(v.of.focus.id)  # need not be described
+            one = self.named(v)
             out = one if out is None else out.union(one)
         return out
 
+    def named(self, v: Node) -> DataFrame:
+        """The concepts of a value: one given by its id need not be described."""
+        plain = v.of.focus.kind == "concept" and not v.of.op and not v.of.member and not v.of.filters
+        return self.t.ids(v.of.focus.id) if plain else self.realise(self.eval(v.of))
+
     def members(self, refsets: DataFrame, filters: list[Node]) -> Rows:
         out = None
         for f in filters:
@@ -563,15 +607,17 @@ class Evaluator:
 
     # attributes
 
-    def types(self, name: Node, root: int) -> DataFrame:
-        """The attribute's types: those of its concepts that are below the root of attributes."""
-        if name.focus.kind == "concept" and not name.op and not name.member:
-            own = self.t.ids(name.focus.id)
+    def types(self, name: Node, root: int) -> list[int]:
+        """The attribute's types: those of its concepts that are below the root of attributes. A model has a few hundred of these, read once."""
+        known = self.t.attributes(root)
+        if name.focus.kind == "concept" and not name.op and not name.member and not name.filters:
+            out = [name.focus.id] if name.focus.id in known else []
+        elif name.focus.kind == "any" and not name.op and not name.member and not name.filters:
+            out = sorted(known)
         else:
-            own = self.realise(self.eval(name))
-        below = self.t.tc.where(F.col("ancestor") == root).select(F.col("descendant").alias("id"))
-        out = own.join(below, "id", "left_semi")
-        if out.isEmpty():
+            below = self.realise(self.eval(name)).where(F.col("id").isin(sorted(known)))
+            out = sorted(r["id"] for r in below.collect())
+        if not out:
             raise EclError("invalid-value", "no such attribute")
         return out
 
@@ -583,6 +629,7 @@ class Evaluator:
             found = self.numeric(n).select(F.col("source_id").alias("id")).distinct()
             return self.lift(found)
         if n.value.kind in ("string", "flag"):
+            self.types(n.name, ids.CONCRETE_ATTRIBUTE)
             raise EclError("not-supported", "text and truth values")
         anything = n.value.focus.kind == "any" and not n.value.op and not n.value.member and not n.value.filters
         if wild and (anything or n.op == "!=" or n.cardinality or n.reverse):
@@ -591,8 +638,8 @@ class Evaluator:
         if n.reverse:
             if n.cardinality or n.op == "!=":
                 raise EclError("not-supported", "a reversed attribute with cardinality or !=")
-            return self.lift(graph.targets(t, self.realise(self.eval(n.value)), types))
-        edges = t.edge.join(types.select(F.col("id").alias("type_id")), "type_id", "left_semi")
+            return self.lift(graph.targets(t, self.realise(self.eval(n.value)), t.ids(*types)))
+        edges = t.edge.where(F.col("type_id").isin(types))
         value = self.eval(n.value)
         if n.op == "!=":
             if n.cardinality:
@@ -607,21 +654,21 @@ class Evaluator:
             return self.lift(counted) if low == 0 else self.both(self.lift(counted), self.has(edges, types, value, anything))
         return self.has(edges, types, value, anything)
 
-    def has(self, edges: DataFrame, types: DataFrame, value: Rows, anything: bool) -> Rows:
+    def has(self, edges: DataFrame, types: list[int], value: Rows, anything: bool) -> Rows:
         source = F.col("source_id").alias("id")
         if anything:
             return self.lift(edges.select(source).distinct())
         if value.sides:
             a, b = value.sides
             hit = edges if a.everything else edges.join(self.realise(a).toDF("destination_id"), "destination_id", "left_semi")
-            n = types.count()
+            n = len(types)
             barred = edges.join(self.realise(b).toDF("destination_id"), "destination_id", "left_semi").groupBy("source_id").agg(F.countDistinct("type_id").alias("n")).where(F.col("n") == n)
             return self.lift(hit.select(source).distinct().join(barred.select(source), "id", "left_anti"))
         return self.lift(edges.join(self.realise(value).toDF("destination_id"), "destination_id", "left_semi").select(source).distinct())
 
-    def counted(self, edges: DataFrame, types: DataFrame, low: int, high: int | None) -> DataFrame:
+    def counted(self, edges: DataFrame, types: list[int], low: int, high: int | None) -> DataFrame:
         """Described concepts of which every type has a number of distinct targets in range."""
-        n = types.count()
+        n = len(types)
         c = edges.groupBy("source_id", "type_id").agg(F.countDistinct("destination_id").alias("c"))
         fits = (F.col("c") >= low) & (F.lit(True) if high is None else F.col("c") <= high)
         per = c.groupBy(F.col("source_id").alias("id")).agg(F.sum(fits.cast("int")).alias("fit"), F.count("*").alias("some"))
@@ -631,7 +678,7 @@ class Evaluator:
 
     def numeric(self, n: Node) -> DataFrame:
         types = self.types(n.name, ids.CONCRETE_ATTRIBUTE)
-        return self.t.literal.join(types.select(F.col("id").alias("type_id")), "type_id", "left_semi").where(compare(F.col("number"), n.op, n.value.value))
+        return self.t.literal.where(F.col("type_id").isin(types)).where(compare(F.col("number"), n.op, n.value.value))
 
     def on_group(self, n: Node) -> Rows:
         if n.cardinality:
@@ -651,7 +698,7 @@ class Evaluator:
         if p.value.kind == "number":
             return self.numeric(p)
         types = self.types(p.name, ids.CONCEPT_ATTRIBUTE)
-        edges = self.t.edge.join(types.select(F.col("id").alias("type_id")), "type_id", "left_semi")
+        edges = self.t.edge.where(F.col("type_id").isin(types))
         if p.op == "=" and p.value.focus.kind == "any" and not p.value.op and not p.value.member:
             return edges
         value = self.eval(p.value)
@@ -687,6 +734,11 @@ def expand_historic(t: Terminology, source: str) -> DataFrame:
     return expand(t, source).union(more).distinct()
 
 
+def contains(t: Terminology, concept_id: int, source: str) -> bool:
+    """Whether a constraint selects a concept."""
+    return not concepts(t, source).where(F.col("id") == concept_id).isEmpty()
+
+
 def intersect(t: Terminology, given: DataFrame, source: str) -> DataFrame:
     return given.select("id").distinct().join(concepts(t, source), "id", "left_semi")
 

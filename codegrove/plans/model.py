@@ -25,7 +25,8 @@ MEMBER = (
     " target_component_id bigint, acceptability_id bigint, map_target string, map_group bigint, map_priority bigint, map_rule string, map_advice string, correlation_id bigint, map_category_id bigint,"
     " value_id bigint, attribute_description_id bigint, attribute_type_id bigint, attribute_order int, source_effective_time date, target_effective_time date, owl_expression string,"
     " domain_id bigint, grouped boolean, attribute_cardinality string, attribute_in_group_cardinality string, rule_strength_id bigint, content_type_id bigint, range_constraint string, attribute_rule string,"
-    " domain_constraint string, parent_domain string, mrcm_rule_refset_id bigint"
+    " domain_constraint string, parent_domain string, proximal_primitive_constraint string, proximal_primitive_refinement string, domain_template_for_precoordination string,"
+    " domain_template_for_postcoordination string, guide_url string, mrcm_rule_refset_id bigint"
 )
 
 
@@ -38,20 +39,18 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (descendant, ancestor) of edges (descendant, ancestor), without self pairs.
 
-    Paths double each round, so that a hierarchy of depth d takes log2(d) rounds; a round is a join and a distinct, and
-    ends up as a table, so that plans stay short and lost executors cost one round. Cycles end as no pair is new.
+    Paths double each round, so that a hierarchy of depth d takes log2(d) rounds. A pair that is more than 2^k and at most
+    2^(k+1) edges apart has a first part of 2^k, found in the round before, so that only the last round's pairs are joined
+    with the known ones. A round's new pairs end up as a table, so that plans stay short and lost executors cost one round.
+    Cycles end as no pair is new.
     """
-    known = stored(edges.where("descendant IS NOT NULL AND ancestor IS NOT NULL AND descendant <> ancestor").distinct(), "closure")
-    n = known.count()
-    while n:
-        longer = known.toDF("descendant", "middle").join(known.toDF("middle", "ancestor"), "middle").where("descendant <> ancestor").select("descendant", "ancestor")
-        after = stored(known.unionByName(longer).distinct(), "closure")
-        m = after.count()
-        known = after
-        if m == n:
-            break
-        n = m
-    return known
+    new = stored(edges.where("descendant IS NOT NULL AND ancestor IS NOT NULL AND descendant <> ancestor").distinct(), "closure")
+    known = new
+    while not new.isEmpty():
+        longer = new.toDF("descendant", "middle").join(known.toDF("middle", "ancestor"), "middle").where("descendant <> ancestor").select("descendant", "ancestor").distinct()
+        new = stored(longer.join(known, ["descendant", "ancestor"], "left_anti"), "closure")
+        known = known.unionByName(new)
+    return stored(known, "closure")
 
 
 @dataclass
@@ -103,16 +102,25 @@ class Terminology:
 
     @cached_property
     def substrate(self) -> DataFrame:
-        """One row per description. A concept without description has none, and no expression or search finds it."""
+        """One row per description, with its folded tokens. A concept without description has none, and no expression or search finds it."""
+        from ..operators.text import with_tokens
+
         c = self.concept.select(F.col("id").alias("concept_id"), F.col("active").alias("concept_active"), "module_id")
         d = self.description.select(F.col("id").alias("description_id"), "concept_id", "term", "type_id", "language_code", F.col("active").alias("description_active"))
-        return stored(d.join(c, "concept_id"), "substrate")
+        return stored(with_tokens(d.join(c, "concept_id")), "substrate")
 
     @cached_property
     def installed(self) -> DataFrame:
         """Reference sets with any member, active or not."""
         return self.refset_member.select("refset_id").distinct()
 
+    def attributes(self, root: int) -> frozenset[int]:
+        """The concepts below a root of attributes: part of the concept model, a few hundred whatever the number of concepts. Read once."""
+        known = self.__dict__.setdefault("_attributes", {})
+        if root not in known:
+            known[root] = frozenset(r["descendant"] for r in self.tc.where(F.col("ancestor") == root).select("descendant").collect())
+        return known[root]
+
     def ids(self, *values: int) -> DataFrame:
         return self.spark.createDataFrame([(int(v),) for v in values], "id bigint")
 
@@ -185,7 +193,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Terminology:
         text = "".join(f" {sql} ")
         views[name] = spark.sql(_named(text, views), **{f"v_{k}": v for k, v in views.items() if _uses(text, k)})
     concept = views["concept_names"].selectExpr("id", "active", f"{ids.CORE_MODULE} AS module_id", f"CASE WHEN defined THEN {ids.DEFINED} ELSE {ids.PRIMITIVE} END AS definition_status_id")
-    member = views["members"].selectExpr("id", "active", "refset_id", "component_id AS referenced_component_id", "target_id AS target_component_id", "acceptability_id", "map_target", "map_priority")
+    member = views["members"].selectExpr("id", "active", "refset_id", "component_id AS referenced_component_id", "target_id AS target_component_id", "acceptability_id", "map_target", "map_priority", "CASE substr(id, 1, 3) WHEN 'seg' THEN 'Simple' WHEN 'map' THEN 'SimpleMap' WHEN 'his' THEN 'Association' ELSE 'Language' END AS component")
     # written once, as an import does, so that no query works the projection out again
     out = Terminology(
         spark,

@@ -262,13 +262,8 @@ def classifiable(e: Expression) -> Classifiable:
 
 
 def _value_is(look: Lookup, a: object, b: object) -> bool:
-    if isinstance(a, int) and isinstance(b, int):
-        return look.is_a(a, b)
-    if isinstance(a, Classifiable) or isinstance(b, Classifiable):
-        wrap = lambda x: x if isinstance(x, Classifiable) else Classifiable(frozenset([x])) if isinstance(x, int) else None
-        x, y = wrap(a), wrap(b)
-        return x is not None and y is not None and subsumes(look, y, x)
-    return a == b and not isinstance(a, int) and not isinstance(b, int)
+    """Concepts by the hierarchy; literals and (normal) expressions only if they are the same."""
+    return look.is_a(a, b) if isinstance(a, int) and isinstance(b, int) else a == b
 
 
 def _pair_is(look: Lookup, a: tuple, b: tuple) -> bool:
@@ -280,11 +275,13 @@ def _group_is(look: Lookup, a: frozenset, b: frozenset) -> bool:
 
 
 def subsumes(look: Lookup, a: Classifiable, b: Classifiable) -> bool:
-    """Whether all that a says holds of b: each of its focus concepts, attributes and groups has a more specific one in b."""
-    loose = b.ungrouped | frozenset(p for g in b.groups for p in g)
-    return (
-        all(any(look.is_a(y, x) for y in b.focus) for x in a.focus)
-        and all(any(_pair_is(look, y, x) for y in loose) for x in a.ungrouped)
+    """Whether all that a says holds of b: each of its focus concepts, ungrouped attributes and groups has one as specific among b's of the same
+    kind. An attribute in a group of b does not meet an ungrouped one of a. Without focus concepts nothing subsumes or is subsumed."""
+    return bool(
+        a.focus
+        and b.focus
+        and all(any(look.is_a(y, x) for y in b.focus) for x in a.focus)
+        and all(any(_pair_is(look, y, x) for y in b.ungrouped) for x in a.ungrouped)
         and all(any(_group_is(look, h, g) for h in b.groups) for g in a.groups)
     )
 
@@ -295,10 +292,14 @@ def relation(look: Lookup, a: Classifiable, b: Classifiable) -> str:
 
 
 def normalise(e: Expression, look: Lookup) -> Classifiable:
-    """Defined focus concepts give way to the primitive ones nearest above and to their attributes; what another one implies goes."""
-    unknown = concepts_of(e) - look.known
-    if unknown:
-        raise ScgError(f"unknown concepts {sorted(unknown)}")
+    """Defined focus concepts give way to the primitive ones nearest above and to their attributes; nested expressions are normalised alike.
+
+    Of the attributes of one type, ungrouped or in one group, those with the most specific concepts stay; of the groups, those that no other one is
+    as specific as. All focus concepts stay. Unknown and inactive concepts raise.
+    """
+    wrong = (concepts_of(e) - look.known) | (concepts_of(e) & look.known) - look.active
+    if wrong:
+        raise ScgError(f"unknown or inactive concepts {sorted(wrong)}")
     done: dict[int, tuple[set[int], set, set]] = {}
 
     def primitives(c: int) -> tuple[set[int], set, set]:
@@ -316,21 +317,22 @@ def normalise(e: Expression, look: Lookup) -> Classifiable:
             done[c] = focus, loose, groups
         return done[c]
 
-    own = classifiable(e)
-    value = lambda v: v
+    def most_specific(pairs: set) -> frozenset:
+        return frozenset((n, v) for n, v in pairs if not (isinstance(v, int) and any(m == n and isinstance(w, int) and w != v and look.is_a(w, v) for m, w in pairs)))
+
+    def own(ps) -> set:
+        return {(n.id, normalise(v, look) if isinstance(v, Expression) else v.id if isinstance(v, Concept) else _literal(v)) for n, v in ps}
+
     focus: set[int] = set()
-    loose, groups = set(own.ungrouped), set(own.groups)
-    for c in own.focus:
-        f, u, g = primitives(c)
+    loose, groups = own(e.ungrouped), {frozenset(own(g)) for g in e.groups}
+    for c in e.focus:
+        f, u, g = primitives(c.id)
         focus |= f
         loose |= u
         groups |= g
-    focus = {a for a in focus if not any(b != a and look.is_a(b, a) for b in focus)}
-    drop = lambda xs, is_: {x for x in xs if not any(y != x and is_(look, y, x) and not (is_(look, x, y) and repr(x) < repr(y)) for y in xs)}
-    groups = {frozenset(drop(set(g), _pair_is)) for g in groups}
-    groups = drop(groups, _group_is)
-    loose = {p for p in drop(loose, _pair_is) if not any(_pair_is(look, q, p) for g in groups for q in g)}
-    return Classifiable(frozenset(focus), frozenset((n, value(v)) for n, v in loose), frozenset(groups), SUBTYPE)
+    groups = {most_specific(g) for g in groups}
+    groups = {g for g in groups if not any(h != g and _group_is(look, h, g) for h in groups)}
+    return Classifiable(frozenset(focus), most_specific(loose), frozenset(groups), SUBTYPE)
 
 
 def from_classifiable(c: Classifiable) -> Expression:
@@ -398,3 +400,82 @@ def errors(e: Expression, look: Lookup) -> list[tuple[str, int]]:
                 yield from names(v)
 
     return out + [("invalid-attribute", n) for n in sorted(set(names(e)) & look.known) if not (look.is_a(n, ids.CONCEPT_ATTRIBUTE) or look.is_a(n, ids.CONCRETE_ATTRIBUTE) or look.is_a(n, ids.UNAPPROVED_ATTRIBUTE))]
+
+
+def replace_historical(t: Terminology, expressions: list[Expression], profile: str = "MIN") -> list[Expression]:
+    """Expressions with each inactive concept, nested ones too, replaced by its target where the profile gives exactly one and that is active.
+
+    One lookup serves all the expressions of a batch; its size goes with the concepts in them. A replaced concept loses its term.
+    """
+    from ..operators.history import replace_unambiguous
+
+    named = set().union(*map(concepts_of, expressions))
+    now = {r["id"]: r["now"] for r in replace_unambiguous(t, t.ids(*sorted(named)), profile).collect()} if named else {}
+
+    def concept(c: Concept) -> Concept:
+        new = now.get(c.id, c.id)
+        return c if new == c.id else Concept(new)
+
+    def whole(e: Expression) -> Expression:
+        value = lambda v: concept(v) if isinstance(v, Concept) else whole(v) if isinstance(v, Expression) else v
+        pairs = lambda ps: tuple((concept(n), value(v)) for n, v in ps)
+        return Expression(tuple(map(concept, e.focus)), pairs(e.ungrouped), tuple(map(pairs, e.groups)), e.status)
+
+    return [whole(e) for e in expressions]
+
+
+def validate(t: Terminology, sources: list[str], *, rules: bool = True) -> list[list[tuple]]:
+    """What is wrong with each expression: a parse error alone; else unknown, inactive and misplaced concepts; else, with `rules`, attributes
+    that none of the focus concepts' domains allows and values outside an attribute's range. An empty list: valid."""
+    from ..operators import mrcm
+
+    out: list[list[tuple]] = []
+    parsed: list[Expression | None] = []
+    for source in sources:
+        try:
+            parsed.append(parse(source, check_ids=t.check_ids))
+            out.append([])
+        except ScgError as e:
+            parsed.append(None)
+            out.append([("parse-error", str(e))])
+    good = [e for e in parsed if e is not None]
+    if not good:
+        return out
+    look = Lookup.of(t, set().union(*map(concepts_of, good)))
+    for k, e in enumerate(parsed):
+        if e is not None:
+            out[k] = errors(e, look)
+    if not rules:
+        return out
+
+    def parts(e: Expression):
+        """Focus concepts, and (attribute, value, grouped) of an expression and those nested in it."""
+        pairs = [(n.id, v, False) for n, v in e.ungrouped] + [(n.id, v, True) for g in e.groups for n, v in g]
+        yield [c.id for c in e.focus], pairs
+        for _, v, _ in pairs:
+            if isinstance(v, Expression):
+                yield from parts(v)
+
+    checked = {k: list(parts(e)) for k, e in enumerate(parsed) if e is not None and not out[k]}
+    focus = sorted({c for ps in checked.values() for f, _ in ps for c in f})
+    asked = sorted({(n, c) for ps in checked.values() for _, pairs in ps for n, v, _ in pairs for c in ([v.id] if isinstance(v, Concept) else [x.id for x in v.focus] if isinstance(v, Expression) else [])})
+    allowed: dict[int, dict[int, set]] = {}
+    if focus:
+        for r in mrcm.allowed_attributes(t, t.ids(*focus)).collect():
+            allowed.setdefault(r["id"], {}).setdefault(r["attribute_id"], set()).add(r["grouped"])
+    bad = set()
+    if asked:
+        pairs = t.spark.createDataFrame(asked, "attribute_id bigint, value_id bigint")
+        bad = {(r["attribute_id"], r["value_id"]) for r in mrcm.in_range(t, pairs).where("NOT ok").collect()}
+    for k, ps in checked.items():
+        for f, pairs in ps:
+            for n, v, grouped in pairs:
+                may = set().union(*(allowed.get(c, {}).get(n, set()) for c in f))
+                if not may:
+                    out[k].append(("attribute-not-in-domain", n))
+                elif grouped and may == {False}:
+                    out[k].append(("attribute-must-be-ungrouped", n))
+                for c in [v.id] if isinstance(v, Concept) else [x.id for x in v.focus] if isinstance(v, Expression) else []:
+                    if (n, c) in bad:
+                        out[k].append(("value-out-of-range", n, c))
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import identifiers
@@ -19,6 +19,11 @@ ORACLE_SQL: dict[str, str] = {}
 PART, SUPPLIER, QUANTITY, MAP = 11000000001, 11000000002, 11000000003, 12000000001
 ISA = ids.IS_A
 
+
+def _of(t: Terminology) -> DataFrame:
+    return t.concept.select("id")
+
+
 #: What the twins build on, besides the projection.
 _VIEWS = f"""
 edge AS MATERIALIZED (SELECT DISTINCT source_id, type_id, relationship_group, destination_id FROM rel),
@@ -48,6 +53,10 @@ def constraint(name: str, source: str, sql: str, *views: str):
     query(name, sql, *views)(lambda t: ecl.concepts(t, source))
 
 
+def _joined(c: str) -> Column:
+    return F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(""))
+
+
 def _below(t: Terminology, root: int) -> DataFrame:
     return graph.all_children(t, t.ids(root))
 
@@ -60,7 +69,7 @@ UNDER = f"SELECT descendant AS id FROM tcs WHERE ancestor = {NATION}"
 query("edges_distinct", "SELECT * FROM edge")(lambda t: t.edge)
 query("closure_isa", "SELECT descendant, ancestor FROM tc")(lambda t: t.tc)
 query("closure_counts", "SELECT ancestor, count(*) AS n FROM tc GROUP BY ancestor")(lambda t: t.tc.groupBy("ancestor").agg(F.count("*").alias("n")))
-query("ancestors_of", "SELECT DISTINCT ancestor AS id FROM tcs WHERE descendant % 97 = 0")(lambda t: graph.all_parents(t, t.concept.where("id % 97 = 0").select("id")))
+query("ancestors_of", "SELECT DISTINCT ancestor AS id FROM tcs")(lambda t: graph.all_parents(t, _of(t)))
 query("descendants_of", UNDER)(lambda t: _below(t, NATION))
 query("children_of", f"SELECT child AS id FROM isa WHERE parent = {REGION}")(lambda t: graph.children(t, t.ids(REGION)))
 query("parents_of", "SELECT DISTINCT parent AS id FROM isa JOIN orders ON child = 6000000000 + o_orderkey WHERE o_orderstatus = 'P'")(
@@ -69,32 +78,32 @@ query("parents_of", "SELECT DISTINCT parent AS id FROM isa JOIN orders ON child
 query(
     "paths_to_root_count",
     "SELECT id, count(*) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM isa WHERE child = last) GROUP BY id",
-    "p AS (SELECT id, id AS last FROM concept_names WHERE id > 3000000000 AND id < 7000000000 UNION ALL SELECT p.id, isa.parent FROM p JOIN isa ON isa.child = p.last)",
-)(lambda t: graph.paths_to_root(t, t.concept.where("id > 3000000000 AND id < 7000000000").select("id")).groupBy("id").agg(F.count("*").alias("n")))
-_PAIRS = "pairs AS (SELECT 6000000000 + o_orderkey AS a, 2000000000 + n_nationkey AS b FROM orders, nation WHERE n_nationkey % 5 = 0)"
+    "p AS (SELECT id, id AS last FROM concept_names UNION ALL SELECT p.id, isa.parent FROM p JOIN isa ON isa.child = p.last)",
+)(lambda t: graph.paths_to_root(t, _of(t)).groupBy("id").agg(F.count("*").alias("n")))
+query(
+    "paths_to_root",
+    "SELECT id, path FROM p WHERE NOT EXISTS (SELECT 1 FROM isa WHERE child = last)",
+    "p AS (SELECT id, id AS last, CAST(id AS varchar) AS path FROM concept_names UNION ALL SELECT p.id, isa.parent, concat(p.path, '>', isa.parent) FROM p JOIN isa ON isa.child = p.last)",
+)(lambda t: graph.paths_to_root(t, _of(t)).select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")))
+#: Every concept with every region and nation: with every other concept, pairs would grow with the square.
+_PAIRS = "pairs AS (SELECT c.id AS a, p.id AS b FROM concept_names c, concept_names p WHERE p.kind IN ('region', 'nation'))"
 
 
 def _pairs(t: Terminology) -> DataFrame:
-    b = [2000000000 + k for k in range(0, 25, 5)]
-    return t.concept.where("id >= 6000000000 AND id < 7000000000").select(F.col("id").alias("a"), F.explode(F.array(*map(F.lit, b))).alias("b"))
+    places = [r["id"] for r in t.concept.where("id >= 1000000000 AND id < 3000000000").select("id").collect()]
+    return t.concept.select(F.col("id").alias("a"), F.explode(F.array(*map(F.lit, places))).alias("b"))
 
 
-query("subsumed_by", "SELECT a, b, EXISTS (SELECT 1 FROM tcs WHERE descendant = a AND ancestor = b) AS is_a FROM pairs", _PAIRS)(lambda t: graph.subsumed_by(t, _pairs(t)))
+query("subsumed_by", "SELECT a, b, descendant IS NOT NULL AS is_a FROM pairs LEFT JOIN tcs ON descendant = a AND ancestor = b", _PAIRS)(lambda t: graph.subsumed_by(t, _pairs(t)))
 query(
-    "subsumes", "SELECT b AS a, a AS b, CASE WHEN EXISTS (SELECT 1 FROM tc WHERE descendant = pairs.a AND ancestor = pairs.b) THEN 'subsumes' ELSE 'not-subsumed' END AS relation FROM pairs", _PAIRS
+    "subsumes",
+    "SELECT b AS a, a AS b, CASE WHEN a = b THEN 'equivalent' WHEN down.descendant IS NOT NULL THEN 'subsumes' WHEN up.descendant IS NOT NULL THEN 'subsumed-by' ELSE 'not-subsumed' END AS relation"
+    " FROM pairs LEFT JOIN tc AS down ON down.descendant = a AND down.ancestor = b LEFT JOIN tc AS up ON up.descendant = b AND up.ancestor = a",
+    _PAIRS,
 )(lambda t: graph.subsumes(t, _pairs(t).select(F.col("b").alias("a"), F.col("a").alias("b"))))
-query("are_any", f"SELECT DISTINCT descendant AS id FROM tcs WHERE ancestor IN ({NATION}, {REGION}) AND descendant >= 6000000000 AND descendant < 7000000000")(
-    lambda t: graph.are_any(t, t.concept.where("id >= 6000000000 AND id < 7000000000"), t.ids(NATION, REGION))
-)
-_SET = "s AS (SELECT id FROM concept_names WHERE id % 3 = 0 AND id < 7000000000)"
-
-
-def _set(t: Terminology) -> DataFrame:
-    return t.concept.where("id % 3 = 0 AND id < 7000000000").select("id")
-
-
-query("leaves", "SELECT id FROM s WHERE id NOT IN (SELECT ancestor FROM tc JOIN s AS x ON x.id = descendant)", _SET)(lambda t: graph.leaves(t, _set(t)))
-query("top_of_set", "SELECT id FROM s WHERE id NOT IN (SELECT descendant FROM tc JOIN s AS x ON x.id = ancestor)", _SET)(lambda t: graph.top_leaves(t, _set(t)))
+query("are_any", f"SELECT DISTINCT descendant AS id FROM tcs WHERE ancestor IN ({NATION}, {REGION})")(lambda t: graph.are_any(t, _of(t), t.ids(NATION, REGION)))
+query("leaves", "SELECT id FROM concept_names WHERE id NOT IN (SELECT ancestor FROM tc)")(lambda t: graph.leaves(t, _of(t)))
+query("top_of_set", "SELECT id FROM concept_names WHERE id NOT IN (SELECT descendant FROM tc)")(lambda t: graph.top_leaves(t, _of(t)))
 _TARGET = "target AS (SELECT id FROM concept_names WHERE id < 3000000000 OR id > 9000000000 AND id < 10000000000)"
 query(
     "map_into",
@@ -209,19 +218,15 @@ _ALL = f"({ids.SAME_AS}, {ids.REPLACED_BY}, {ids.MOVED_TO})"
 
 
 def _history(name: str, refsets: str):
-    views = (f"x AS (SELECT id FROM concept_names WHERE kind = 'customer' AND id % 2 = 0)", f"h AS (SELECT component_id AS s, target_id AS d FROM m WHERE refset_id IN {refsets})", "modern AS (SELECT id FROM x UNION SELECT d FROM h JOIN x ON x.id = s)")
+    views = (f"x AS (SELECT id FROM concept_names)", f"h AS (SELECT component_id AS s, target_id AS d FROM m WHERE refset_id IN {refsets})", "modern AS (SELECT id FROM x UNION SELECT d FROM h JOIN x ON x.id = s)")
     return name, "SELECT id FROM modern UNION SELECT s FROM h JOIN modern ON modern.id = d", *views
 
 
-def _even(t: Terminology) -> DataFrame:
-    return t.concept.where("id >= 3000000000 AND id < 4000000000 AND id % 2 = 0").select("id")
-
-
 for _name, _refsets in {"MIN": f"({ids.SAME_AS})", "MOD": f"({ids.SAME_AS}, {ids.REPLACED_BY})", "MAX": _ALL}.items():
-    query(*_history(f"history_{_name.lower()}", _refsets))(lambda t, n=_name: history.with_historical(t, _even(t), history.profile(t, n)))
-query(*_history("with_historical", f"({ids.SAME_AS}, {ids.REPLACED_BY})"))(lambda t: history.with_historical(t, _even(t)))
+    query(*_history(f"history_{_name.lower()}", _refsets))(lambda t, n=_name: history.with_historical(t, _of(t), history.profile(t, n)))
+query(*_history("with_historical", f"({ids.SAME_AS}, {ids.REPLACED_BY})"))(lambda t: history.with_historical(t, _of(t)))
 query("historical_associations", f"SELECT component_id AS source_id, refset_id, target_id FROM m WHERE refset_id IN {_ALL}")(history.historical_associations)
-query("source_historical", f"SELECT DISTINCT component_id AS id FROM m JOIN concept_names c ON c.id = target_id WHERE refset_id IN {_ALL} AND c.id % 2 = 0")(lambda t: history.source_historical(t, _even(t)))
+query("source_historical", f"SELECT DISTINCT component_id AS id FROM m JOIN concept_names c ON c.id = target_id WHERE refset_id IN {_ALL}")(lambda t: history.source_historical(t, _of(t)))
 query(
     "historical_counts",
     f"SELECT associations, count(*) AS concepts FROM (SELECT c.id, count(target_id) AS associations FROM concept_names c LEFT JOIN m ON component_id = c.id AND refset_id IN {_ALL} WHERE NOT c.active GROUP BY c.id) x GROUP BY associations",
@@ -229,8 +234,8 @@ query(
 query("replaced_by", f"SELECT component_id AS source_id, target_id FROM m WHERE refset_id = {ids.REPLACED_BY}")(history.replaced_by)
 query(
     "replace_historical",
-    f"SELECT c.id, coalesce(CASE WHEN NOT c.active AND t.active THEN t.id END, c.id) AS now FROM concept_names c LEFT JOIN m ON component_id = c.id AND refset_id = {ids.SAME_AS} LEFT JOIN concept_names t ON t.id = m.target_id WHERE c.kind = 'customer'",
-)(lambda t: history.replace_unambiguous(t, t.concept.where("id >= 3000000000 AND id < 4000000000")))
+    f"SELECT c.id, coalesce(CASE WHEN NOT c.active AND t.active THEN t.id END, c.id) AS now FROM concept_names c LEFT JOIN m ON component_id = c.id AND refset_id = {ids.SAME_AS} LEFT JOIN concept_names t ON t.id = m.target_id",
+)(lambda t: history.replace_unambiguous(t, t.concept))
 constraint(
     "history_supplement",
     f"(< {NATION} AND < 9000000001) {{{{ +HISTORY-MOD }}}}",
@@ -252,17 +257,27 @@ constraint("term_not", f'< {REGION} {{{{ term != "customer", type = syn }}}}', f
 constraint("description_active_filter", "* {{ active = false }}", "SELECT DISTINCT concept_id AS id FROM sub WHERE NOT description_active")
 constraint("concept_active_filter", f"< {REGION} {{{{ C active = false }}}}", f"SELECT DISTINCT concept_id AS id FROM sub JOIN tc ON descendant = concept_id WHERE ancestor = {REGION} AND NOT concept_active")
 constraint("dialect_filter", "* {{ dialect = en-gb (accept) }}", f"SELECT DISTINCT concept_id AS id FROM sub JOIN m ON component_id = description_id WHERE refset_id = {ids.EN_GB} AND acceptability_id = {ids.ACCEPTABLE}")
-constraint("dialect_id_filter", f"* {{{{ dialectId = {ids.EN_GB} }}}}".replace(str(ids.EN_GB), f"(>> {ids.EN_GB})"), "SELECT DISTINCT concept_id AS id FROM sub WHERE false")
+constraint("dialect_id_filter", f"* {{{{ dialectId = {ids.EN_GB} }}}}", f"SELECT DISTINCT concept_id AS id FROM sub JOIN m ON component_id = description_id WHERE refset_id = {ids.EN_GB}")
+constraint(
+    "dialect_id_set", f"* {{{{ type = syn, dialectId = ({ids.EN_GB} (accept) {ids.EN_US} (prefer)) }}}}",
+    f"SELECT DISTINCT concept_id AS id FROM sub JOIN m ON component_id = description_id WHERE type_id = {ids.SYNONYM} AND (refset_id = {ids.EN_GB} AND acceptability_id = {ids.ACCEPTABLE} OR refset_id = {ids.EN_US} AND acceptability_id = {ids.PREFERRED})",
+)
+constraint("dialect_set_accepted", "* {{ dialect = (en-gb en-us) (accept) }}", f"SELECT DISTINCT concept_id AS id FROM sub JOIN m ON component_id = description_id WHERE refset_id IN ({ids.EN_GB}, {ids.EN_US}) AND acceptability_id = {ids.ACCEPTABLE}")
+constraint("type_id_set", f'* {{{{ term = "nation", typeId = ({ids.SYNONYM} |Synonym| {ids.FSN}) }}}}', f"SELECT DISTINCT concept_id AS id FROM tk WHERE type_id IN ({ids.SYNONYM}, {ids.FSN}) AND len(list_filter(tokens, lambda w: w LIKE 'nation%')) > 0", _TK)
+constraint("concept_active_zero", f"< {REGION} {{{{ C active = 0 }}}}", f"SELECT DISTINCT concept_id AS id FROM sub JOIN tc ON descendant = concept_id WHERE ancestor = {REGION} AND NOT concept_active")
+constraint("description_active_one", '* {{ active = 1, term = "code" }}', "SELECT DISTINCT concept_id AS id FROM tk WHERE description_active AND len(list_filter(tokens, lambda w: w LIKE 'code%')) > 0", _TK)
+constraint("term_wild_narrowed", f'< {REGION} {{{{ term = wild:"*" }}}}', f"SELECT descendant AS id FROM tc WHERE ancestor = {REGION}")
+constraint("desc_grain_and_same", '* {{ term = "code" }} AND * {{ type = syn }}', f"SELECT DISTINCT concept_id AS id FROM tk WHERE type_id = {ids.SYNONYM} AND len(list_filter(tokens, lambda w: w LIKE 'code%')) > 0", _TK)
 query("ecl_expand", f"SELECT description_id, concept_id, term FROM sub JOIN tc ON descendant = concept_id WHERE ancestor = {NATION} AND type_id = {ids.SYNONYM}")(lambda t: ecl.expand(t, f"< {NATION}"))
 query(
     "ecl_expand_preferred",
-    f"SELECT description_id, concept_id, term FROM sub JOIN m ON component_id = description_id AND refset_id = {ids.EN_US} JOIN tc ON descendant = concept_id WHERE ancestor = {ids.ROOT} AND concept_id >= 4000000000 AND concept_id < 6000000000 AND type_id = {ids.SYNONYM} AND description_active",
-)(lambda t: ecl.expand_preferred(t, f"< {ids.ROOT}", [ids.EN_US]).where("concept_id >= 4000000000 AND concept_id < 6000000000"))
+    f"SELECT description_id, concept_id, term FROM sub JOIN m ON component_id = description_id AND refset_id = {ids.EN_US} JOIN tc ON descendant = concept_id WHERE ancestor = {ids.ROOT} AND type_id = {ids.SYNONYM} AND description_active",
+)(lambda t: ecl.expand_preferred(t, f"< {ids.ROOT}", [ids.EN_US]))
 query("ecl_expand_historic", f"SELECT description_id, concept_id, term FROM sub WHERE type_id = {ids.SYNONYM} AND concept_id IN (SELECT descendant FROM tc WHERE ancestor = {NATION} UNION SELECT component_id FROM m JOIN tc ON descendant = target_id WHERE ancestor = {NATION} AND refset_id IN {_ALL})")(
     lambda t: ecl.expand_historic(t, f"< {NATION}")
 )
 query("ecl_count", f"SELECT count(*) AS n FROM tc WHERE ancestor = {REGION}")(lambda t: ecl.count(t, f"< {REGION}"))
-query("intersect_ecl", f"SELECT DISTINCT descendant AS id FROM tc WHERE ancestor = {REGION} AND descendant % 7 = 0")(lambda t: ecl.intersect(t, t.concept.where("id % 7 = 0"), f"< {REGION}"))
+query("intersect_ecl", f"SELECT DISTINCT descendant AS id FROM tc WHERE ancestor = {REGION} ")(lambda t: ecl.intersect(t, t.concept, f"< {REGION}"))
 
 
 def _search(sql_where: str, order: str = "") -> str:
@@ -289,20 +304,74 @@ query("search_ranked", f"SELECT description_id, concept_id, term, score FROM (SE
 )
 query(
     "dedupe_consecutive",
-    "SELECT description_id, concept_id, term FROM (SELECT *, lag(concept_id) OVER w AS c, lag(term) OVER w AS t FROM (SELECT description_id, concept_id % 2 AS concept_id, term FROM sub WHERE concept_id >= 5000000000 AND concept_id < 6000000000) y WINDOW w AS (ORDER BY term, description_id)) x WHERE c IS NULL OR c <> concept_id OR t <> term",
-)(lambda t: text.consecutive_distinct(t.substrate.where("concept_id >= 5000000000 AND concept_id < 6000000000").select("description_id", (F.col("concept_id") % 2).alias("concept_id"), "term"), ["term", "description_id"]))
-query("extended_concept_flat", f"SELECT c.id, count(DISTINCT d.id) AS n_descriptions, count(DISTINCT t.ancestor) AS n_ancestors, p.term AS preferred_synonym FROM concept_names c JOIN descr d ON d.concept_id = c.id LEFT JOIN tc t ON t.descendant = c.id LEFT JOIN p ON p.concept_id = c.id WHERE c.kind IN ('part', 'customer') GROUP BY c.id, p.term", _P)(
-    lambda t: lookups.extended_concept(t, [ids.EN_US]).where("id >= 3000000000 AND id < 4000000000 OR id >= 5000000000 AND id < 6000000000").select("id", F.size("descriptions").cast("bigint").alias("n_descriptions"), F.size(F.col("parents")[F.lit(ISA).cast("bigint")]).cast("bigint").alias("n_ancestors"), "preferred_synonym")
+    "SELECT description_id, concept_id, term FROM (SELECT *, lag(concept_id) OVER w AS c, lag(term) OVER w AS t FROM (SELECT description_id, concept_id % 2 AS concept_id, term FROM sub) y WINDOW w AS (ORDER BY term, description_id)) x WHERE c IS NULL OR c <> concept_id OR t <> term",
+)(lambda t: text.consecutive_distinct(t.substrate.select("description_id", (F.col("concept_id") % 2).alias("concept_id"), "term"), ["term", "description_id"]))
+_EXTENDED = """e AS (SELECT c.id, (SELECT count(*) FROM descr d WHERE d.concept_id = c.id) AS n_descriptions, p.term AS preferred_synonym FROM concept_names c LEFT JOIN p ON p.concept_id = c.id),
+u AS (SELECT descendant AS id, string_agg(CAST(ancestor AS varchar), ',' ORDER BY ancestor) AS ancestors FROM tc GROUP BY descendant),
+r AS (SELECT component_id AS id, string_agg(CAST(refset_id AS varchar), ',' ORDER BY refset_id) AS refsets FROM (SELECT DISTINCT component_id, refset_id FROM m) x GROUP BY component_id),
+v AS (SELECT source_id AS id, count(*) AS n_values FROM lit GROUP BY source_id)"""
+query("extended_concept_flat", "SELECT id, n_descriptions, coalesce(ancestors, '') AS ancestors, coalesce(refsets, '') AS refsets, coalesce(n_values, 0) AS n_values, preferred_synonym FROM e LEFT JOIN u USING (id) LEFT JOIN r USING (id) LEFT JOIN v USING (id)", _P, _EXTENDED)(
+    lambda t: lookups.extended_concept(t, [ids.EN_US]).withColumn("up", F.col("parents")[F.lit(ISA).cast("bigint")]).select(
+        "id", F.coalesce(F.size("descriptions"), F.lit(0)).cast("bigint").alias("n_descriptions"), _joined("up").alias("ancestors"), _joined("refsets").alias("refsets"), F.when(F.col("concrete_values").isNull(), 0).otherwise(F.size("concrete_values")).cast("bigint").alias("n_values"), "preferred_synonym"
+    )
 )
 query("status_counts", "SELECT 'concepts' AS name, count(*) AS n FROM concept_names UNION ALL SELECT 'descriptions', count(*) FROM descr UNION ALL SELECT 'relationships', count(*) FROM rel UNION ALL SELECT 'concrete_values', count(*) FROM lit UNION ALL SELECT 'refset_items', count(*) FROM members UNION ALL SELECT 'refsets', count(DISTINCT refset_id) FROM members UNION ALL SELECT 'edges', count(*) FROM edge UNION ALL SELECT 'closure', count(*) FROM tc")(
     lookups.status
 )
 
-# functions and ingest
+# lookups of whole tables
 
-query("identifier_partition", "SELECT id, CASE WHEN substr(CAST(id AS varchar), -3, 1) IN ('0', '1') THEN CASE substr(CAST(id AS varchar), -2, 1) WHEN '0' THEN 'concept' WHEN '1' THEN 'description' WHEN '2' THEN 'relationship' END END AS kind FROM meta WHERE id < 11000000000 OR id > 12000000000")(
-    lambda t: t.concept.where(f"id IN ({ids.IS_A}, {ids.CONCEPT_ATTRIBUTE}, {ids.CONCRETE_ATTRIBUTE}, {ids.ASSOCIATIONS}, {ids.SAME_AS}, {ids.REPLACED_BY}, {ids.MOVED_TO})").select("id", identifiers.kind_column(F.col("id")).alias("kind"))
+_LIST = "string_agg(v, ',' ORDER BY v) AS targets"
+query("descriptions", "SELECT id, concept_id, type_id, term, active FROM descr")(lambda t: lookups.descriptions(t, t.concept).select("id", "concept_id", "type_id", "term", "active"))
+query("synonyms", f"SELECT id, concept_id, term FROM descr WHERE type_id = {ids.SYNONYM}")(lambda t: lookups.synonyms(t, t.concept).select("id", "concept_id", "term"))
+query("synonyms_by_refset", f"SELECT DISTINCT d.id, concept_id, term FROM descr d JOIN m ON component_id = d.id WHERE type_id = {ids.SYNONYM} AND d.active AND refset_id = {ids.EN_GB}")(
+    lambda t: lookups.synonyms(t, t.concept, t.ids(ids.EN_GB)).select("id", "concept_id", "term")
+)
+query("parent_relationships", f"SELECT source_id, type_id, {_LIST} FROM (SELECT DISTINCT source_id, type_id, CAST(destination_id AS varchar) AS v FROM edge) x GROUP BY ALL")(
+    lambda t: graph.parent_relationships(t).select("source_id", F.explode("relationships").alias("type_id", "x")).select("source_id", "type_id", F.array_join(F.sort_array(F.transform("x", lambda v: v.cast("string"))), ",").alias("targets"))
+)
+query(
+    "properties_by_group",
+    f"SELECT source_id, relationship_group, type_id, {_LIST} FROM (SELECT DISTINCT source_id, relationship_group, type_id, CAST(destination_id AS varchar) AS v FROM edge UNION SELECT source_id, relationship_group, type_id, value FROM lit) x GROUP BY ALL",
+)(
+    lambda t: graph.properties_by_group(t).select("source_id", F.explode("properties").alias("relationship_group", "x")).select("source_id", "relationship_group", F.explode("x").alias("type_id", "v")).select("source_id", "relationship_group", "type_id", F.array_join("v", ",").alias("targets"))
 )
+query("properties_by_type", f"SELECT source_id, type_id, relationship_group, {_LIST} FROM (SELECT DISTINCT source_id, type_id, relationship_group, CAST(destination_id AS varchar) AS v FROM edge) x GROUP BY ALL")(
+    lambda t: graph.properties_by_type(t).select("source_id", "type_id", F.explode("groups").alias("relationship_group", "x")).select("source_id", "type_id", "relationship_group", F.array_join(F.sort_array(F.transform("x", lambda v: v.cast("string"))), ",").alias("targets"))
+)
+query(
+    "properties_long_expanded",
+    "SELECT DISTINCT source_id, relationship_group, type_id, ancestor AS target, '' AS literal FROM edge JOIN tcs ON descendant = destination_id UNION ALL SELECT DISTINCT source_id, relationship_group, type_id, 0, value FROM lit",
+)(lambda t: graph.properties(t, expand=True).withColumns({"target": F.coalesce("target", F.lit(0)), "literal": F.coalesce("literal", F.lit(""))}))
+query(
+    "readable_properties",
+    "SELECT source_id, relationship_group, concat_ws(' ', CAST(type_id AS varchar), coalesce(a.term, '')) AS attribute, concat_ws(' ', CAST(destination_id AS varchar), coalesce(b.term, '')) AS value FROM edge LEFT JOIN p a ON a.concept_id = type_id LEFT JOIN p b ON b.concept_id = destination_id"
+    " UNION ALL SELECT DISTINCT source_id, relationship_group, concat_ws(' ', CAST(type_id AS varchar), coalesce(a.term, '')), value FROM lit LEFT JOIN p a ON a.concept_id = type_id",
+    _P,
+)(lambda t: graph.readable_properties(t, [ids.EN_US]))
+query("some_indexed", f"SELECT DISTINCT component_id AS id FROM m WHERE refset_id = {MAP}")(lambda t: graph.some_indexed(t, t.concept, MAP))
+query("refset_items", f"SELECT id, component_id, map_target FROM m WHERE refset_id = {MAP}")(lambda t: lookups.refset_items(t, t.concept, MAP).select("id", F.col("referenced_component_id").alias("component_id"), "map_target"))
+_COMPONENT = "CASE substr(id, 1, 3) WHEN 'seg' THEN 'Simple' WHEN 'map' THEN 'SimpleMap' WHEN 'his' THEN 'Association' ELSE 'Language' END"
+query("refset_counts", f"SELECT {_COMPONENT} AS component, count(*) AS n FROM members GROUP BY 1")(lookups.refset_counts)
+query("language_refsets", "SELECT DISTINCT refset_id FROM members WHERE acceptability_id IS NOT NULL")(lookups.language_refsets)
+query("concept_flags", "SELECT id, defined, NOT defined AS \"primitive\" FROM concept_names")(lookups.concept_flags)
+query("description_flags", f"SELECT id, type_id = {ids.FSN} AS is_fsn, type_id = {ids.SYNONYM} AS is_synonym, type_id = {ids.DEFINITION} AS is_definition FROM descr")(lookups.description_flags)
+query("concepts_of_descriptions", "SELECT description_id, concept_id FROM sub")(lambda t: lookups.concepts_of(t, t.description))
+query("first_ids", "SELECT id FROM concept_names ORDER BY id LIMIT 100")(lambda t: lookups.first_ids(t, 100))
+query("search_concept_ids", "SELECT c.id, d.description_id, d.term, d.term AS preferred_term FROM concept_names c LEFT JOIN d ON d.concept_id = c.id", f"d AS (SELECT concept_id, min(d.id) AS description_id, min_by(term, d.id) AS term FROM descr d JOIN m ON component_id = d.id WHERE d.active AND type_id = {ids.SYNONYM} AND refset_id = {ids.EN_US} AND acceptability_id = {ids.PREFERRED} GROUP BY concept_id)")(
+    lambda t: text.search_concept_ids(t, t.concept, [ids.EN_US])
+)
+query("association_targets", f"SELECT DISTINCT target_id AS id FROM m WHERE refset_id = {ids.SAME_AS}")(lambda t: history.association_targets(t, t.concept, ids.SAME_AS))
+query("same_as", f"SELECT component_id AS source_id, CAST(target_id AS varchar) AS targets FROM m WHERE refset_id = {ids.SAME_AS}")(lambda t: history.same_as(t).select("source_id", _joined("targets").alias("targets")))
+query("moved_to", f"SELECT component_id AS source_id, target_id FROM m WHERE refset_id = {ids.MOVED_TO}")(history.moved_to)
+query("source_associations", f"SELECT target_id, refset_id, CAST(component_id AS varchar) AS sources FROM m WHERE refset_id IN {_ALL} AND target_id IN (SELECT id FROM concept_names)")(
+    lambda t: history.source_associations(t, t.concept).select("target_id", "refset_id", _joined("sources").alias("sources"))
+)
+query("example_associations", f"SELECT component_id AS source_id, refset_id, target_id FROM m WHERE refset_id = {ids.REPLACED_BY} ORDER BY component_id LIMIT 5")(lambda t: history.example_associations(t, ids.REPLACED_BY, 5))
+
+# functions and ingest
+
+QUERIES["identifier_partition"] = lambda spark, sf_dir: from_tables(spark, sf_dir).concept.select("id", identifiers.kind_column(F.col("id")).alias("kind"))
 
 
 def newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,53 +384,9 @@ ORACLE_SQL["newest_wins"] = "SELECT user_id, event_id, event_type FROM (SELECT *
 
 
 def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'es' OR lang = 'fr'")
-    return docs.select("doc_id", F.length(text.fold_column("text", "lang")).cast("bigint").alias("n"), F.md5(text.fold_column("text", "lang")).alias("folded"))
-
-
-QUERIES["fold_text"] = fold_documents
-ORACLE_SQL["fold_text"] = "SELECT doc_id, length(strip_accents(text)) AS n, md5(strip_accents(text)) AS folded FROM documents WHERE lang = 'es' OR lang = 'fr'"
-
-# The operators that the queries above apply to a part of the ids, over whole tables. The twins above stay as they are; these have none, a test
-# holds them against plain loops.
-
-
-def _of(t: Terminology) -> DataFrame:
-    return t.concept.select("id")
-
-
-def _every_pair(t: Terminology) -> DataFrame:
-    """Every concept with every region and nation."""
-    return _of(t).toDF("a").crossJoin(F.broadcast(t.concept.where("id >= 1000000000 AND id < 3000000000").select(F.col("id").alias("b"))))
-
-
-WHOLE: dict[str, Callable[[Terminology], DataFrame]] = {
-    "ancestors_of_all": lambda t: graph.all_parents(t, _of(t)),
-    "paths_to_root_count_all": lambda t: graph.paths_to_root(t, _of(t)).groupBy("id").agg(F.count("*").alias("n")),
-    "subsumed_by_all": lambda t: graph.subsumed_by(t, _every_pair(t)),
-    "subsumes_all": lambda t: graph.subsumes(t, _every_pair(t).select(F.col("b").alias("a"), F.col("a").alias("b"))),
-    "leaves_all": lambda t: graph.leaves(t, _of(t)),
-    "top_of_set_all": lambda t: graph.top_leaves(t, _of(t)),
-    "history_min_all": lambda t: history.with_historical(t, _of(t), history.profile(t, "MIN")),
-    "history_mod_all": lambda t: history.with_historical(t, _of(t), history.profile(t, "MOD")),
-    "history_max_all": lambda t: history.with_historical(t, _of(t), history.profile(t, "MAX")),
-    "with_historical_all": lambda t: history.with_historical(t, _of(t)),
-    "source_historical_all": lambda t: history.source_historical(t, _of(t)),
-    "replace_historical_all": lambda t: history.replace_unambiguous(t, t.concept),
-    "ecl_expand_preferred_all": lambda t: ecl.expand_preferred(t, f"< {ids.ROOT}", [ids.EN_US]),
-    "intersect_ecl_all": lambda t: ecl.intersect(t, t.concept, f"< {REGION}"),
-    "extended_concept_flat_all": lambda t: lookups.extended_concept(t, [ids.EN_US]).withColumn("up", F.col("parents")[F.lit(ISA).cast("bigint")]).select(
-        "id", F.size("descriptions").cast("bigint").alias("n_descriptions"), F.when(F.col("up").isNull(), 0).otherwise(F.size("up")).cast("bigint").alias("n_ancestors"), "preferred_synonym"
-    ),
-    "identifier_partition_all": lambda t: t.concept.select("id", identifiers.kind_column(F.col("id")).alias("kind")),
-}
-for _name, _whole in WHOLE.items():
-    QUERIES[_name] = lambda spark, sf_dir, f=_whole: f(from_tables(spark, sf_dir))
-
-
-def fold_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.fold_column("text", "lang").alias("f"))
     return folded.select("doc_id", F.length("f").cast("bigint").alias("n"), F.md5("f").alias("folded"))
 
 
-QUERIES["fold_text_all"] = fold_all_documents
+#: Marks are stripped alike in SQL only where no letter has another form; a test holds all texts against a plain loop.
+QUERIES["fold_text"] = fold_documents

@@ -14,10 +14,11 @@ from ..functions.identifiers import effective_time, flag
 from ..plans.model import CONCEPT, CONCRETE, DESCRIPTION, MEMBER, RELATIONSHIP, Terminology, conform
 from .versions import newest
 
-_NAME = re.compile(
-    r"^(?P<status>[xz]?)(?P<type>sct|der|doc|res|tls)(?P<format>\d)_(?P<pattern>[a-zA-Z]*?)?(?P<entity>Refset|Concept|Description|TextDefinition|Relationship|StatedRelationship|RelationshipConcreteValues|Identifier)_"
-    r"(?P<summary>[^_]*?)(?P<release>Full|Snapshot|Delta)(?:-(?P<language>[a-zA-Z-]{2,8}))?_(?P<country>[A-Z]{2,3}|)(?P<namespace>\d{7}|\d{5}|)_(?P<version>\d{8})\.(?P<extension>\w+)$"
-)
+#: Kinds of files, their contents, and reference set types that have no reader of their own.
+_FILE = re.compile(r"([xz]*)(sct|der|doc|res|tls)(.*)")
+ENTITIES = ("RelationshipConcreteValues", "StatedRelationship", "TextDefinition", "Relationship", "Description", "Identifier", "Concept", "Refset")
+OTHER_REFSETS = ("OrderedAssociation", "QuerySpecification", "DescriptionType", "Annotation", "Ordered")
+_SUBTYPE = re.compile(r"(.*?)(Full|Snapshot|Delta)(Current|Draft|Review)?(?:-(.*))?")
 #: Reference set types named in filenames, and the columns each adds.
 REFSET_FIELDS = {
     "Simple": [],
@@ -30,7 +31,7 @@ REFSET_FIELDS = {
     "AttributeValue": [("value_id", "c")],
     "ModuleDependency": [("source_effective_time", "d"), ("target_effective_time", "d")],
     "OWLExpression": [("owl_expression", "s")],
-    "MRCMDomain": [("domain_constraint", "s"), ("parent_domain", "s")],
+    "MRCMDomain": [(x, "s") for x in ("domain_constraint", "parent_domain", "proximal_primitive_constraint", "proximal_primitive_refinement", "domain_template_for_precoordination", "domain_template_for_postcoordination", "guide_url")],
     "MRCMAttributeDomain": [("domain_id", "c"), ("grouped", "b"), ("attribute_cardinality", "s"), ("attribute_in_group_cardinality", "s"), ("rule_strength_id", "c"), ("content_type_id", "c")],
     "MRCMAttributeRange": [("range_constraint", "s"), ("attribute_rule", "s"), ("rule_strength_id", "c"), ("content_type_id", "c")],
     "MRCMModuleScope": [("mrcm_rule_refset_id", "c")],
@@ -38,20 +39,33 @@ REFSET_FIELDS = {
 
 
 def parse_filename(path: str) -> dict | None:
-    """What a release file's name says; None for other files."""
-    m = _NAME.match(os.path.basename(path))
-    if not m:
+    """What a release file's name says; None for other files.
+
+    A name is file type, content, release (which documents may lack), country with namespace, and date, between underscores. The content
+    ends with an entity, before which is the pattern of the reference set's fields. component: the entity, of a reference set its type.
+    """
+    stem, dot, extension = os.path.basename(path).partition(".")
+    parts = stem.split("_")
+    if not dot or len(parts) < 4 or not (kind := _FILE.fullmatch(parts[0])) or not re.fullmatch(r"\d{8}", parts[-1]):
         return None
-    out = {k: v or None for k, v in m.groupdict().items()}
-    entity, summary = out["entity"], out["summary"] or ""
-    component = entity
-    if entity == "Refset":
-        component = summary if summary in REFSET_FIELDS else next((x for x in sorted(REFSET_FIELDS, key=lambda x: -len(x)) if x in summary), "Simple")
     try:
-        version = datetime.strptime(out["version"], "%Y%m%d").date()
+        version = datetime.strptime(parts[-1], "%Y%m%d").date()
     except ValueError:
         return None
-    return out | {"component": component, "version": version, "path": path}
+    place = re.fullmatch(r"(.*?)(\d*)", parts[-2])
+    middle = parts[1:-2]
+    sub = _SUBTYPE.fullmatch(middle[-1]) if len(middle) > 1 else None
+    content = "_".join(middle[:-1] if sub else middle)
+    entity = next((x for x in ENTITIES if content.endswith(x)), None)
+    out = {"status": kind[1] or None, "type": kind[2], "format": kind[3] or None, "content": content, "pattern": content[: -len(entity)] or None if entity else None, "entity": entity}
+    out |= dict(zip(("summary", "release", "document", "language"), sub.groups() if sub else (None,) * 4, strict=True))
+    out |= {"country": place[1] or None, "namespace": place[2] or None, "version": version, "extension": extension, "path": path}
+    summary = out["summary"] = out["summary"] or None
+    component = entity
+    if entity == "Refset":
+        names = sorted((*REFSET_FIELDS, *OTHER_REFSETS), key=lambda x: -len(x))
+        component = next((x for x in names if (summary or "").startswith(x)), None) or next((x for x in names if x in (summary or "")), "Simple")
+    return out | {"component": component}
 
 
 def files(root: str) -> list[dict]:
@@ -62,8 +76,23 @@ def files(root: str) -> list[dict]:
 
 def importable(root: str, exclude: tuple[str, ...] = ("OWLExpression",)) -> list[dict]:
     """Snapshot files of components that have a reader."""
-    core = ("Concept", "Description", "Relationship", "RelationshipConcreteValues", "Refset")
-    return [x for x in files(root) if x["release"] == "Snapshot" and x["entity"] in core and x["component"] not in exclude]
+    return [x for x in files(root) if has_reader(x) and x["component"] not in exclude]
+
+
+def has_reader(about: dict) -> bool:
+    """Whether a file (as parse_filename tells it) is a snapshot of a component that can be read."""
+    core = ("Concept", "Description", "Relationship", "RelationshipConcreteValues")
+    plain = about["entity"] in core and not about["pattern"] or about["entity"] == "Refset" and about["component"] in REFSET_FIELDS
+    return about["release"] == "Snapshot" and plain
+
+
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """One release file's typed rows, whatever its release type; a file without a reader raises."""
+    about = parse_filename(path)
+    if about is None or not has_reader(about | {"release": "Snapshot"}):
+        raise ValueError(f"no reader for {path}")
+    raw, kind = read_text(spark, path), about["entity"]
+    return members(raw, about) if kind == "Refset" else relationships(raw, concrete=True) if kind == "RelationshipConcreteValues" else {"Concept": concepts, "Description": descriptions, "Relationship": relationships}[kind](raw)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -131,16 +160,37 @@ def members(raw: DataFrame, about: dict) -> DataFrame:
     return _rows(raw, columns, MEMBER)
 
 
+#: What attributes a reference set's descriptor begins with, by type. The longer of two that fit comes first.
+_MAP = (900000000000500006, 900000000000501005, 900000000000502003, 900000000000503008, 900000000000504002, 900000000000505001, 1193546000)
+DESCRIPTORS = {
+    "ExtendedMap": (*_MAP, 609330002),
+    "ComplexMap": _MAP,
+    "ModuleDependency": (900000000000535008, 900000000000536009, 900000000000537000),
+    "Association": (449608002, 900000000000533001),
+    "Language": (449608002, 900000000000511003),
+    "SimpleMap": (900000000000500006, 900000000000505001),
+    "AttributeValue": (449608002, 900000000000491004),
+    "OWLExpression": (449608002, 762677007),
+}
+
+
 def reify(rows: DataFrame, descriptors: DataFrame) -> DataFrame:
-    """Simple members typed by their reference set's descriptors: (refset_id, attributes) with attribute types that begin with a known type's."""
-    first = F.slice("attributes", 2, 2)
-    kinds = rows.join(descriptors, "refset_id", "left")
-    typed = F.when((F.col("component") == "Simple") & F.col("active") & (F.size("fields") > 0), F.when(first == F.array(F.lit(900000000000505001)), "SimpleMap").when(first == F.array(F.lit(900000000000533001)), "Association").when(first == F.array(F.lit(900000000000511003)), "Language").when(first == F.array(F.lit(900000000000491004)), "AttributeValue"))
-    out = kinds.withColumn("_type", typed)
-    value = F.col("fields")[0]
-    for name, kind, column in (("SimpleMap", "string", "map_target"), ("Association", "bigint", "target_component_id"), ("Language", "bigint", "acceptability_id"), ("AttributeValue", "bigint", "value_id")):
-        out = out.withColumn(column, F.when(F.col("_type") == name, value.cast(kind)).otherwise(F.col(column)))
-    return out.withColumn("component", F.coalesce("_type", "component")).select(rows.columns)
+    """Active Simple members with fields get the type that their reference set's descriptor (refset_id, attributes) begins with, and its columns.
+
+    The descriptor's first attribute is the referenced component; a field is null in its column if it does not fit the column's kind.
+    """
+    may = (F.col("component") == "Simple") & F.col("active") & (F.size("fields") > 0)
+    typed = F.lit(None).cast("string")
+    for name, begin in reversed(DESCRIPTORS.items()):
+        typed = F.when(may & (F.slice("attributes", 1, len(begin)) == F.array(*[F.lit(x).cast("bigint") for x in begin])), name).otherwise(typed)
+    out = rows.join(descriptors, "refset_id", "left").withColumn("__type", typed)
+    kinds = {"c": "try_cast({} AS bigint)", "i": "try_cast({} AS bigint)", "s": "{}", "d": "cast(try_to_date({}, 'yyyyMMdd') AS date)"}
+    columns: dict[str, list[str]] = {}
+    for name in DESCRIPTORS:
+        for k, (column, kind) in enumerate(REFSET_FIELDS[name]):
+            columns.setdefault(column, []).append(f"WHEN __type = '{name}' THEN {kinds[kind].format(f'get(fields, {k})')}")
+    out = out.withColumns({c: F.expr(f"CASE {' '.join(x)} ELSE {c} END") for c, x in columns.items()})
+    return out.withColumn("component", F.coalesce("__type", "component")).select(rows.columns)
 
 
 def import_release(spark: SparkSession, *roots: str, check_ids: bool = True) -> Terminology:
@@ -198,16 +248,18 @@ def metadata(path: str) -> dict:
 
 
 def save(t: Terminology, path: str) -> None:
-    """The base tables as Parquet, descriptions and edges clustered by concept, with a manifest of the layout's version."""
+    """The base tables and headings as Parquet, descriptions and edges clustered by concept, with a manifest of the layout's version."""
     for name in ("concept", "description", "relationship", "concrete_value", "refset_member"):
         rows = getattr(t, name)
         key = {"concept": "id", "description": "concept_id", "relationship": "source_id", "concrete_value": "source_id", "refset_member": "refset_id"}[name]
         rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
-    t.spark.createDataFrame([("codegrove/1", date.today())], "version string, created date").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    heads = t.headings if t.headings is not None else t.spark.createDataFrame([], "refset_id bigint, headings array<string>")
+    heads.coalesce(1).write.mode("overwrite").parquet(f"{path}/headings")
+    t.spark.createDataFrame([("codegrove/2", date.today())], "version string, created date").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def load(spark: SparkSession, path: str, *, check_ids: bool = True) -> Terminology:
     version = spark.read.schema("version string, created date").json(f"{path}/manifest").first()["version"]
-    if version != "codegrove/1":
+    if version != "codegrove/2":
         raise ValueError(f"the tables have layout {version}")
-    return Terminology(spark, *[spark.read.parquet(f"{path}/{n}") for n in ("concept", "description", "relationship", "concrete_value", "refset_member")], check_ids)
+    return Terminology(spark, *[spark.read.parquet(f"{path}/{n}") for n in ("concept", "description", "relationship", "concrete_value", "refset_member")], check_ids, spark.read.parquet(f"{path}/headings"))

@@ -26,3 +26,28 @@ def test_subsumption():
     assert scg.classifiable(scg.from_classifiable(b)) == b
     assert scg.to_ecl(b) == "<< 2 : { << 100 = << 11 }"
     assert scg.errors(scg.Expression((scg.Concept(7),)), LOOK) == [("not-found", 7)]
+
+
+def test_normal_form_keeps_kinds_apart():
+    """An ungrouped attribute is met by ungrouped ones only; all focus concepts stay; attributes are compared within their type."""
+    whole = scg.Lookup(
+        above={2: frozenset({1}), 11: frozenset({10}), 101: frozenset({100})},
+        defined=frozenset(),
+        active=frozenset({1, 2, 10, 11, 100, 101}),
+        known=frozenset({1, 2, 3, 10, 11, 100, 101}),
+        parents={},
+        properties={2: {0: frozenset({(100, 10), (100, 11), (101, 10)}), 1: frozenset({(100, 11)}), 2: frozenset({(100, 10)})}},
+    )
+    n = scg.normalise(scg.Expression((scg.Concept(1), scg.Concept(2))), whole)
+    assert n.focus == {1, 2} and n.ungrouped == {(100, 11), (101, 10)} and n.groups == {frozenset({(100, 11)})}
+    loose, grouped = (scg.Classifiable(frozenset({1}), *x) for x in ((frozenset({(100, 10)}),), (frozenset(), frozenset({frozenset({(100, 11)})}))))
+    assert scg.relation(whole, loose, grouped) == "not-subsumed" and not scg.subsumes(whole, scg.Classifiable(frozenset()), loose)
+    assert scg.subsumes(whole, loose, scg.Classifiable(frozenset({2}), frozenset({(101, 11)})))
+    nested = scg.parse("100001 : 100 = (100002)".replace("100001", "000001").replace("100002", "000002").replace(" 100 ", " 000100 "), check_ids=False)
+    assert scg.normalise(nested, whole).ungrouped == {(100, scg.normalise(scg.Expression((scg.Concept(2),)), whole))}
+    for c in (3, 4):
+        try:
+            scg.normalise(scg.Expression((scg.Concept(c),)), whole)
+            raise AssertionError("an inactive or unknown concept")
+        except scg.ScgError:
+            pass
