@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forget, prepare, stored, table
+from .common import batches_of, components, prepare, stored, table
 
 LEAST = 0.93
 TABLES, DIRECTIONS, WIDTH, SEED = 16, 8, 2.0, 7
@@ -133,12 +133,13 @@ def _compare(rows: DataFrame, least: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, *, least: float = LEAST, tables: int = TABLES, directions: int = DIRECTIONS, width: float = WIDTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding, label)."""
     spark = vectors.sparkSession
-    prepare(spark, rows=4000)
+    prepare(spark)
     fine = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     base = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<float>").alias("v"), F.monotonically_increasing_id().alias("row"))
     base = stored(base.withColumn("fine", fine), "vectors")
     own = base.where("fine").groupBy("label", "v").agg(F.min("row").alias("node"), F.count("*").alias("n"))
-    coded = stored(_coded(own, tables, directions, width, seed), "coded")
+    with batches_of(spark, 4000):
+        coded = stored(_coded(own, tables, directions, width, seed), "coded")
     found = []
     for first in range(0, tables, AT_ONCE):
         ts = F.explode(F.array(*map(F.lit, range(first, min(first + AT_ONCE, tables)))))
@@ -150,7 +151,8 @@ def near_duplicates(vectors: DataFrame, *, least: float = LEAST, tables: int = T
         pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda s: F.struct(F.least("c", s).alias("p"), F.greatest("c", s).alias("q"), F.when(chunks > 1, F.when(F.col("c") == s, F.lit(None)).otherwise((F.col("c") > s).cast("int"))).alias("side")))
         rows = rows.select("t", "node", "v", "n", "codes", "key", F.explode(pairs).alias("b"))
         rows = rows.select(F.xxhash64("key", "b.p", "b.q").alias("key"), "t", F.col("b.side").alias("side"), "node", "v", "n", "codes")
-        found.append(stored(_compare(rows.repartition("key").sortWithinPartitions("key"), least), "near"))
+        with batches_of(spark, 4000):
+            found.append(stored(_compare(rows.repartition("key").sortWithinPartitions("key"), least), "near"))
     near = found[0]
     for x in found[1:]:
         near = near.unionByName(x)

@@ -2,8 +2,8 @@
 
 Documents become token ids with an end id; only longer ones are cut into full sequences and a rest. Pieces are dealt at
 random into shards of bounded size. On each shard a few islands evolve packings apart: a crossover injects whole
-well-filled bins of one parent into the other, removes the bins that hold a duplicate, and puts the displaced pieces back,
-largest first, where they fit best. Between epochs each island's best packing migrates to the next island. Of a shard's
+well-filled bins of one parent into the other, removes the bins that hold a duplicate, exchanges one or two of the displaced
+pieces for smaller ones where that fills a bin better, and puts the rest back, largest first, where they fit best. Between epochs each island's best packing migrates to the next island. Of a shard's
 best packing the well-filled bins are final; the pieces of the others are pooled over the shards and packed again, until
 one shard is left.
 
@@ -17,6 +17,7 @@ import random
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forget, prepare, stored, table
+from .common import batches_of, prepare, stored, table
 
 LENGTH, END = 4096, 1
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4000, 3, 2, 16, 5
+#: A bin's largest pieces that are exchanged in pairs.
+PAIRED = 8
 #: Bins of at least this share are final before the last level.
 FULL = 0.985
 
@@ -122,6 +125,43 @@ class Packing:
                     some |= 1 << left
         return self
 
+    def exchange(self, items: list[int]) -> list[int]:
+        """Give bins with room one or two of the items for one or two smaller ones, the pair that fills a bin best; what is left, smaller items, is given back."""
+        sizes = self.sizes
+        left = sorted((sizes[i], i) for i in items)
+        for k, room in enumerate(self.free):
+            if not room or not left:
+                continue
+            own = self.bins[k]
+            large = sorted(own, key=lambda i: -sizes[i])[:PAIRED]
+            best = (0, (), ())
+            for n, out in [(sizes[i], (i,)) for i in own] + [(sizes[i] + sizes[j], (i, j)) for x, i in enumerate(large) for j in large[:x]]:
+                most = n + room
+                at = bisect_right(left, (most, len(sizes))) - 1
+                if at >= 0 and left[at][0] - n > best[0]:
+                    best = (left[at][0] - n, out, (at,))
+                low, high = 0, len(left) - 1
+                while low < high:
+                    both = left[low][0] + left[high][0]
+                    if both > most:
+                        high -= 1
+                        continue
+                    if both - n > best[0]:
+                        best = (both - n, out, (low, high))
+                    low += 1
+                if best[0] == room:
+                    break
+            gain, out, places = best
+            if gain:
+                taken = [left[x] for x in places]
+                for x in sorted(places, reverse=True):
+                    del left[x]
+                self.bins[k] = [i for i in own if i not in out] + [i for _, i in taken]
+                self.free[k] = room - gain
+                for i in out:
+                    insort(left, (sizes[i], i))
+        return [i for _, i in left]
+
     def fitness(self) -> tuple[int, float]:
         """Fewer bins are better, then more uneven ones."""
         return -len(self.bins), sum((self.capacity - f) ** 2 for f in self.free)
@@ -155,7 +195,8 @@ def crossover(a: Packing, b: Packing, pick: random.Random) -> Packing:
             displaced += [i for i in x if i not in taken]
         else:
             kept.append(list(x))
-    return Packing([list(x) for x in injected] + kept, a.sizes, a.capacity).add(displaced)
+    child = Packing([list(x) for x in injected] + kept, a.sizes, a.capacity)
+    return child.add(child.exchange(displaced))
 
 
 def evolve(sizes: list[int], starts: list[list[int]], seed: int, *, capacity: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[int]:
@@ -200,7 +241,7 @@ def _epoch(state: DataFrame, capacity: int, seed: int) -> DataFrame:
 def _level(items: DataFrame, n: int, capacity: int, level: int) -> DataFrame:
     """Items (item, size) with the shard and bin that the shard's best packing gives, and what that bin holds."""
     spark = items.sparkSession
-    prepare(spark, rows=1)
+    prepare(spark)
     shards = -(-n // SHARD)
     dealt = items.groupBy(F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("item", "size"))).alias("i"))
     dealt = stored(dealt.select("shard", F.col("i.item").alias("items"), F.col("i.size").alias("sizes")), "shards")
@@ -209,7 +250,8 @@ def _level(items: DataFrame, n: int, capacity: int, level: int) -> DataFrame:
     starts = F.lit(None).cast("array<array<int>>")
     state = islands.withColumn("starts", starts)
     for epoch in range(EPOCHS):
-        best = stored(_epoch(state.repartition(tasks, "shard", "island"), capacity, 10 * level + epoch), "islands")
+        with batches_of(spark, 1):
+            best = stored(_epoch(state.repartition(tasks, "shard", "island"), capacity, 10 * level + epoch), "islands")
         arrived = best.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("best").alias("other"))
         state = islands.join(best, ["shard", "island"]).join(arrived, ["shard", "island"]).select("shard", "island", "sizes", F.array("best", "other").alias("starts"))
     final = best.groupBy("shard").agg(F.min_by("best", F.struct(F.array_max("best"), F.col("island"))).alias("best"))
@@ -258,6 +300,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all rows; a null text is one end id, a null doc_id stays null, rows of one doc_id are packed each."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
