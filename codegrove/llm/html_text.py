@@ -11,7 +11,7 @@ on every page, and left out. A page without text in its host's main slots, or wh
 rules from the page alone.
 
 Edge cases: a null html counts as empty, an empty page has an empty text; a page whose url is null or has no host belongs to the
-host ''; unclosed and cut off markup ends with the page; repeated rows each count as a page; other columns are ignored.
+host ''; unclosed and cut off markup ends with the page; of elements nested deeper than DEEP the paths, not the texts, end there; repeated rows each count as a page; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SHARE = 0.25
 #: Characters of all templates' hosts and paths up to which they are sent to every executor.
 FEW_CHARS = 4_000_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object)\b[^>]*>.*?(?:</\2\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object)\b[^>]*>.*?(?:</\2\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S | re.I)
 _NAME = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -43,28 +43,44 @@ _ENDS_P = set("address article aside blockquote details div dl fieldset figure f
 _PARTS = set("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption colgroup thead tbody tfoot tr td th address details summary".split())
 #: Elements that are never main text.
 _OUT = set("head nav header footer aside form button select menu dialog input label legend fieldset".split())
-#: Words of a class, id or role that name what isn't main text.
+#: Words of a class, id or role that name what isn't main text; and those that do so unless the name is that of a text.
 _WORDS = set(
-    "ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login"
-    " share sharing social sidebar sidebars menu navbar nav navigation breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus related recommended recommendations footer header masthead"
-    " widget widgets pagination pager toolbar topbar skip search complementary contentinfo".split()
+    "adv advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter signup login"
+    " share sharing social sidebar sidebars menu navbar nav navigation breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus related recommended recommendations footer"
+    " pagination pager toolbar topbar complementary contentinfo".split()
 )
+_WEAK = set("ad ads alert banner header masthead modal notice notices overlay popup search skip subscribe widget widgets".split())
+_TEXTS = set("article articles blog body content entry free main page post posts story stories text".split())
+#: Words before which a name says that something is there or isn't.
+_SAYS = set("has have is no non not with without".split())
 _SPLIT = re.compile(r"[^a-z]+")
+#: Elements nested deeper than this have the path of the one at this depth.
+DEEP = 256
+
+
+def _left_out(name: str) -> bool:
+    """Whether a name (a class, an id, a role or a label) is that of something beside the text: comment-body is, alert-story and no-sidebar are not."""
+    words = [w for w in _SPLIT.split(name) if w]
+    if not words or words[0] in _SAYS:
+        return False
+    return not _WORDS.isdisjoint(words) or words[-1] in _WEAK or (not _WEAK.isdisjoint(words) and _TEXTS.isdisjoint(words))
 
 
 def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """An element's token, whether it is left out, and whether it is an article's."""
-    words: list[str] = []
-    for _, v in _NAME.findall(attributes):
-        words += [w for w in _SPLIT.split(v.lower()) if w]
-    out = tag in _OUT or (tag not in ("html", "body", "main") and not _WORDS.isdisjoint(words))
-    return (f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag), out, tag in ("article", "main") or "articlebody" in words
+    words, out = set(), tag in _OUT
+    for key, v in _NAME.findall(attributes):
+        value = v.lower().strip("\"'")
+        words |= {w for w in _SPLIT.split(value) if w}
+        out = out or (tag not in ("html", "body", "main") and any(map(_left_out, [value] if key.lower() == "aria-label" else value.split())))
+    return (f"{tag}.{'.'.join(sorted(words))}" if words else tag), out, tag in ("article", "main") or "articlebody" in words
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
     """Blocks of text in page order: path, text, characters in links, left out, in an article. An element gives an empty block."""
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, left out, in an article
     links, parts, linked, at = 0, [], 0, 0
+    open_tags: dict[str, int] = {}
 
     def flush():
         nonlocal parts, linked
@@ -89,18 +105,22 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
             continue
         yield from flush()
         if m[3]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k:
-                del stack[k:]
+            while open_tags.get(tag):
+                ended = stack.pop()[0]
+                open_tags[ended] -= 1
+                if ended == tag:
+                    break
             continue
         ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
         if ends and stack[-1][0] in ends:
-            stack.pop()
+            open_tags[stack.pop()[0]] -= 1
         if tag in _VOID:
             continue
         token, out, article = _named(tag, m[5])
         _, path, was_out, was_in = stack[-1]
-        stack.append((tag, f"{path}>{token}" if path else token, was_out or out, was_in or article))
+        deeper = f"{path}>{token}" if path else token
+        stack.append((tag, path if len(stack) > DEEP else deeper, was_out or out, was_in or article))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         yield stack[-1][1], "", 0, stack[-1][2], stack[-1][3]
     if at < len(page):
         parts.append(page[at:])
@@ -147,7 +167,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, slots (the template's paths) and main (those of main text) of each host with LEAST_PAGES pages or more."""
-    prepare(pages.sparkSession, rows=500)
+    prepare(pages.sparkSession)
     tokens = pages.select("page_id", "url", "html").mapInArrow(_tokens, "host string, path string, pages long, vector long, chars long, links long, out boolean, article boolean")
     tokens = stored(tokens.groupBy("host", "path", "out", "article").agg(*[F.sum(c).alias(c) for c in ("pages", "vector", "chars", "links")]), "tokens")
     hosts = tokens.where("path = ''").select("host", F.col("pages").alias("all_pages")).where(F.col("all_pages") >= LEAST_PAGES)
@@ -199,7 +219,7 @@ def extract(pages: DataFrame) -> DataFrame:
     found = stored(templates(pages), "templates")
     few = (found.agg(F.sum(F.length("host") + F.length(F.concat_ws(" ", "main")))).first()[0] or 0) <= FEW_CHARS
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1)), F.lit(""))
-    prepare(spark, rows=500)
+    prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
