@@ -132,6 +132,6 @@ LEAST = 0.15
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that are in some language; a null lang becomes the predicted one."""
-    found, score = "_found_lang", "_found_score"
+    found, score = "__found_lang", "__found_score"
     kept = identify(docs, learn(docs.select("doc_id", "text", "lang")), names=(found, score)).where((F.col(found) != UNKNOWN) & (F.col(score) >= LEAST))
     return kept.withColumn("lang", F.coalesce("lang", found)).select(docs.columns)
