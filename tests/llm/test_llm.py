@@ -1,5 +1,8 @@
 """Each operator against a plain version, and on null, empty, repeated and crowded input."""
 
+import hashlib
+import re
+import struct
 import zlib
 from collections import Counter
 
@@ -63,7 +66,7 @@ def test_token_counts_of_long_texts(machine, pieces, docs, empty):
 # SimHash
 
 
-def plain_print(text):
+def plain_simhash(text):
     w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
     h = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
@@ -72,7 +75,7 @@ def plain_print(text):
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_simhash_print(text):
-    assert simhash.fingerprint(text) % (1 << 64) == plain_print(text)
+    assert simhash.fingerprint(text) % (1 << 64) == plain_simhash(text)
 
 
 def united(n, pairs):
@@ -211,17 +214,57 @@ def test_packing(docs, empty, spark):
     assert packing.pack_documents(empty, path).count() == 0
 
 
-def test_evolution_reaches_the_bound():
-    pick = np.random.default_rng(3)
-    sizes = []
-    for _ in range(60):
-        cuts = sorted(pick.choice(np.arange(1, 100), 3, replace=False).tolist())
-        sizes += np.diff([0, *cuts, 100]).tolist()
-    best = packing.evolve(sizes, [], 5, capacity=100, generations=60)
-    assert max(np.bincount(best, sizes)) <= 100 and max(best) + 1 <= 62
+def triplets(seed, n, capacity=100):
+    """Sizes of n full bins of three, which best-fit packs into more bins than needed."""
+    pick, sizes = np.random.default_rng(seed), []
+    while len(sizes) < 3 * n:
+        a, b = (int(x) for x in pick.integers(26 * capacity // 100, 49 * capacity // 100, 2))
+        if 26 * capacity // 100 <= capacity - a - b <= 49 * capacity // 100:
+            sizes += [a, b, capacity - a - b]
+    return sizes
+
+
+def test_evolution_needs_fewer_bins_than_best_fit(monkeypatch):
+    real, calls = packing.crossover, []
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or real(*a))
+    for seed in range(4):
+        sizes = triplets(seed, 40)
+        fit = len(packing.Packing([], sizes, 100).add(list(range(len(sizes)))).bins)
+        islands = [packing.evolve(sizes, [], k, capacity=100) for k in range(3)]
+        moved = [packing.evolve(sizes, [islands[k], islands[k - 1]], 10 + k, capacity=100) for k in range(3)]
+        assert calls and max(np.bincount(islands[0], sizes)) <= 100
+        assert min(map(max, islands)) + 1 <= fit - 3 and min(map(max, moved)) <= min(map(max, islands))
     assert packing.evolve([], [], 1, capacity=10) == []
 
 
+@settings(max_examples=60, deadline=None)
+@given(sizes=st.lists(st.integers(1, 50), min_size=2, max_size=60), seed=st.integers(0, 99))
+def test_crossover_keeps_every_piece(sizes, seed):
+    import random
+
+    pick = random.Random(seed)
+    a, b = (packing.Packing([], sizes, 50).add(pick.sample(range(len(sizes)), len(sizes))) for _ in range(2))
+    child = packing.crossover(a, b, pick)
+    assert sorted(i for x in child.bins for i in x) == list(range(len(sizes)))
+    assert [50 - sum(sizes[i] for i in x) for x in child.bins] == child.free and min(child.free) >= 0
+
+
+def test_packing_of_hard_sizes_uses_evolution(spark):
+    """Islands on Spark, with migration: fewer sequences than best-fit alone."""
+    sizes = triplets(7, 60)
+    fit = len(packing.Packing([], sizes, 100).add(list(range(len(sizes)))).bins)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    rows = packing.pack(items, capacity=100).join(items, "item").collect()
+    used: dict = {}
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == len(sizes) and len(used) <= fit - 4
+    for x in used.values():
+        assert [o for o, _ in sorted(x)] == np.cumsum([0, *(n for _, n in sorted(x))])[:-1].tolist()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in (before, "1000")
+
+
 # quality, mixing
 
 
@@ -251,23 +294,92 @@ def test_mixing(docs, empty, spark):
     raked = mixing.rake(cells, rounds=60, powers={"source": 1.0, "lang": 1.0, "topic": 1.0}, targets=aim).toPandas()
     share = raked.groupby("source")["w"].sum() / raked["w"].sum()
     assert abs(share.sum() - 1) < 1e-9
+    grid = [(s, g, t, int(n)) for (s, g, t), n in zip([(s, g, t) for s in "abc" for g in ("en", "fr") for t in ("note", "list")], np.random.default_rng(4).integers(1, 1000, 12), strict=True)]
+    wanted = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.8, "fr": 0.2}, "topic": {"note": 0.35, "list": 0.65}}
+    for most in (1000, 0):
+        even = mixing.rake(spark.createDataFrame(grid, "source string, lang string, topic string, tokens long"), rounds=40, targets=wanted, max_cells=most).toPandas()
+        for dim, aims in wanted.items():
+            got = even.groupby(dim)["w"].sum() / even["w"].sum()
+            assert all(abs(got[v] - a) < 1e-6 for v, a in aims.items())
     assert mixing.mix(mixing.described(empty)).count() == 0
 
 
 # fingerprints
 
 
-def test_fingerprints(docs, empty):
-    rows = fingerprints.fingerprint_edits(docs).collect()
-    assert len(rows) == docs.count()
-    by_text = {}
-    texts = {d["doc_id"]: d["text"] or "" for d in docs.collect()}
-    for r in rows:
-        assert r["n_chars"] == len(texts[r["doc_id"]]) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert by_text.setdefault(texts[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
+def plain_print(text, cache):
+    """The samples of a text as (term, t), worked out one by one."""
+    import math
+
+    bag = Counter(w for w in re.split(fingerprints.SPACE, text) if w)
+    out = []
+    for block in range(4):
+        for k in range(fingerprints.BLOCK):
+            best = None
+            for w, n in bag.items():
+                length = min(len(w), 65535)
+                h = (((xxhash.xxh64_intdigest(w.encode(), 42) & ~65535 & (1 << 64) - 1) | length) ^ (1 << 63)) - (1 << 63)
+                key = h, block, k
+                if key not in cache:
+                    g = spark_hash(h, block)
+                    u, v = (xxhash.xxh64_intdigest(struct.pack("<Q", g ^ x), 42) for x in (2 * k, 2 * k + 1))
+                    part = lambda x, at, n: ((x >> at & (1 << n) - 1) + 0.5) / (1 << n)
+                    cache[key] = -math.log(part(u, 0, 32) * part(u, 32, 32)), -math.log(part(v, 0, 21) * part(v, 21, 21)), part(v, 42, 22)
+                r, c, b = cache[key]
+                t = math.floor(math.log(n * length) / r + b)
+                best = min(best or (math.inf,), (math.log(c) - r * (t - b + 1), w, t))
+            out.append(best and best[1:])
+    return out
+
+
+def spark_hash(h, block):
+    first = xxhash.xxh64_intdigest(struct.pack("<q", h), 42)
+    return xxhash.xxh64_intdigest(struct.pack("<i", block), first)
+
+
+def near(a, b):
+    return sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+
+
+def by_brute_force(rows):
+    """doc_id -> what the query returns, but for the fingerprints' digits; from (doc_id, text) in order."""
+    cache: dict = {}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for k, (key, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        p, e, n = (plain_print(t, cache) for t in (text, edited, after))
+        out.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest(), near(p, e), near(p, n)))
+    return out
+
+
+def test_fingerprints(docs, empty, spark):
+    pick = np.random.default_rng(11)
+    texts = [" ".join(f"w{int(x)}" for x in pick.zipf(1.4, int(n)) % 80) for n in pick.integers(1, 120, 25)]
+    texts += [texts[3], "ç🎉é " * 7, "", None, "word", "\t \n"]
+    rows = [(3 * k, t) for k, t in enumerate(texts)] + [(6, texts[2]), (None, "b a"), (None, "a a")]
+    for some in (rows, rows[:1], rows[:2], [(None, "x y z")]):
+        got = fingerprints.fingerprint_edits(spark.createDataFrame(some, "doc_id long, text string").repartition(3)).collect()
+        key = lambda r: (r[0] is None, -(r[0] or 0), r[2], r[3], r[4])
+        found = sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got], key=key)
+        assert found == sorted(by_brute_force(some), key=key)
+    by_text: dict = {}
+    whole = {d["doc_id"]: d["text"] or "" for d in docs.collect()}
+    for r in fingerprints.fingerprint_edits(docs).collect():
+        assert r["n_chars"] == len(whole[r["doc_id"]]) and by_text.setdefault(whole[r["doc_id"]], r["fingerprint"]) == r["fingerprint"] and len(r["edited_fingerprint"]) == 256
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def test_fingerprints_do_not_depend_on_the_common_terms(docs, monkeypatch):
+    results = []
+    for common in (65_536, 12, 0):
+        monkeypatch.setattr(fingerprints, "COMMON", common)
+        assert (fingerprints._common(docs, 64).count() > 0) == (common > 0)
+        results.append(pairs(fingerprints.fingerprint_edits(docs)))
+    assert results[0] == results[1] == results[2]
+
+
 def test_fingerprints_follow_jaccard(spark):
     pick = np.random.default_rng(5)
     bag = lambda t: Counter(t.split())
@@ -308,6 +420,48 @@ def test_main_text_keeps_all_parts_of_the_article(spark):
     assert all(got[k] == page(k)[1] for k in range(4)) and got[8] == got[9] == "some text " * 50 + "small"
 
 
+def test_main_text_by_the_template(spark):
+    """Without article elements, a page alone can't tell its text from a box of links and words that all pages have."""
+    box = " ".join(f"common{i}" for i in range(30))
+    page = lambda k: f'<html><body><div class="top"><span>{box}</span></div><div class="story"><p>{" ".join(f"own{k}x{i}" for i in range(150))}</p><p>end {k}</p></div></body></html>'
+    pages = spark.createDataFrame([(k, f"http://h/{k}", page(k)) for k in range(5)], "page_id long, url string, html string")
+    for r in html_text.extract(pages).collect():
+        k = r["page_id"]
+        alone = html_text.main_text(page(k), None)
+        assert r["text"] == " ".join(f"own{k}x{i}" for i in range(150)) + f" end {k}" and alone == f"{box} {r['text']}"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p title=it's>don't</p><p>end</article>", "don't end"),
+        ('<article><p title="a>b">one</p><p title=\'c>d\'>two</p></article>', "one two"),
+        ('<article class="alert-story"><div class="article-ad-free content">kept</div><div class="ad-slot-3">no</div></article>', "kept"),
+        ('<article class="no-sidebar"><div class="comment-body">no</div><div class="article-comments">no</div><div class="related-articles">no</div><p class="post-header">no</p><p>yes</article>', "yes"),
+        ('<article><div aria-label="Related stories">no</div><section aria-label="What the story says">yes</section></article>', "yes"),
+        ("<article>" + "<div>" * 50_000 + "deep" + "</b></p>" * 1000 + "</article>", "deep"),
+        ("<main>a<br>b &lt;p&gt; &#233;&eacute; <![CDATA[c < d]]> &bogus;</main>", "a b <p> éé c < d &bogus;"),
+        ("<article>cut <b", "cut"),
+        ("", ""),
+    ],
+)
+def test_main_text_of_a_page(html, text):
+    assert html_text.main_text(html, None) == text
+
+
+def test_main_text_of_nested_elements_is_linear():
+    import tracemalloc
+
+    def peak(n):
+        tracemalloc.start()
+        assert html_text.main_text("<div>" * n + "x", None) == "x"
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(40_000) < 6 * peak(10_000)
+
+
 def test_main_text_of_many_slots(spark, monkeypatch):
     page = "<html><body><div>" + "".join(f'<section id="s{chr(97 + k // 26)}{chr(97 + k % 26)}"><p>text number {k:03}</p></section>' for k in range(300)) + "</div></body></html>"
     pages = spark.createDataFrame([(k, f"http://h/{k}", page) for k in range(2)], "page_id long, url string, html string")
@@ -329,6 +483,14 @@ def test_embeddings(spark):
     x = {i: np.array(v, float) / np.linalg.norm(v) for i, (k, v, lab) in enumerate(rows) if v and lab is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
     expected = [(k, sum(i != j and i in x and j in x and rows[j][2] == lab and x[i] @ x[j] >= 0.93 for j in range(len(rows)))) for i, (k, _, lab) in enumerate(rows)]
     assert got == sorted(expected, key=repr)
+    fine = [i for i in x]
+    linked = [(i, j) for i in fine for j in fine if i < j and rows[i][2] == rows[j][2] and x[i] @ x[j] >= 0.93]
+    root = united(len(rows), linked)
+    lowest: dict = {}
+    for i, (k, *_) in enumerate(rows):
+        lowest[root[i]] = min(lowest.get(root[i], k), k)
+    whole = sorted(((r["vec_id"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(vectors).collect()), key=repr)
+    assert whole == sorted(((k, lowest[root[i]], k == lowest[root[i]]) for i, (k, *_) in enumerate(rows)), key=repr)
     assert embeddings.near_duplicates(vectors.limit(0)).count() == 0
 
 
@@ -345,6 +507,25 @@ def test_language(docs, empty, spark):
     assert language_id.identify(empty, profiles).count() == 0
 
 
+def test_language_query(spark, tmp_path):
+    """Held-out rows are those of the rule, what they say of their language is not learnt, and held-out texts are told right."""
+    words = {"en": "the cat and dog of this house were in the garden when it rained".split(), "fr": "le chat et le chien de la maison dans le jardin quand il pleuvait".split(), "de": "die katze und der hund des hauses waren im garten als es regnete".split()}
+    pick = np.random.default_rng(8)
+    rows = []
+    for k in range(240):
+        lang = ("en", "fr", "de")[k % 3]
+        held = zlib.crc32(str(k).encode()) % 3 == 1
+        # every held-out label is wrong: what is learnt from it would show
+        rows.append((k, " ".join(pick.choice(words[lang], 40)), "xx" if held else lang, "s", 1))
+    rows += [(1000, None, "en", "s", 1), (1001, "12 34 --", "en", "s", 1), (None, "le chien et la maison", "fr", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in language_id.op8_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for k in range(240):
+        assert got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) and got[k]["lang_pred"] == ("en", "fr", "de")[k % 3] and 0 <= got[k]["score"] <= 1
+    assert got[1000]["lang_pred"] == got[1001]["lang_pred"] == "und" and got[None]["lang_pred"] == "fr" and got[None]["held_out"] is False
+
+
 def test_language_stage_keeps_columns_of_any_name(docs, spark):
     kept = language_id.stage(spark, docs.withColumn("rows", docs["n_chars"]), "")
     assert kept.columns == [*docs.columns, "rows"] and {r["score"] for r in kept.collect()} == {"clash"}
@@ -373,6 +554,39 @@ def test_licenses(docs, empty):
     assert licenses.scan(docs).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def matched(words, template):
+    """Words of the longest common subsequence of two lists."""
+    row = [0] * (len(template) + 1)
+    for w in words:
+        before = 0
+        for k, x in enumerate(template):
+            before, row[k + 1] = row[k + 1], before + 1 if w == x else max(row[k], row[k + 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_licenses_by_brute_force(seed):
+    """Every wording put between other words, some with a word changed or left out, is found where it is, with as many words as a full alignment matches."""
+    pick = np.random.default_rng(seed)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    text, want = "", []
+    for name in pick.permutation(sorted(licenses.TEMPLATES)):
+        own = [m[0] for m in re.finditer(r"\S+", licenses.TEMPLATES[name])]
+        edited = list(own)
+        if len(own) > 20:
+            for _ in range(int(pick.integers(0, 3))):
+                k = int(pick.integers(3, len(edited) - 3))
+                edited[k : k + 1] = [] if pick.random() < 0.5 else [f"changed{k}"]
+        text += " ".join(f"filler{int(x)}" for x in pick.integers(0, 50, int(pick.integers(5, 40)))) + " "
+        begin = len(text)
+        text += " ".join(edited) + " "
+        want.append((str(name), begin, matched(licenses.words(" ".join(edited))[0], licenses.words(licenses.TEMPLATES[name])[0])))
+    found = scanner(text)
+    assert [(m[0], m[3]) for m in found] == [(n, k) for n, _, k in want]
+    for (name, begin, end, _, coverage), (_, at, n) in zip(found, want, strict=True):
+        assert abs(begin - at) <= 2 and begin < end <= len(text) and coverage == n / len(licenses.words(licenses.TEMPLATES[name])[0])
+
+
 def test_licenses_repeated():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     for name, text in licenses.TEMPLATES.items():
