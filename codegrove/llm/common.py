@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,15 +80,40 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of all links (a, b) of a task: each takes the smaller root of its ends, over and over, until none changes."""
+    read = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+    if not read:
+        return
+    ends = np.stack([np.concatenate(x) for x in zip(*read, strict=True)])
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        for x in (a, b, before[a], before[b]):
+            np.minimum.at(root, x, low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        if (root == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b: long), as (node, root): root is the smallest node reachable.
 
-    Alternates a large-star and a small-star step until the links no longer change. Each step is two aggregations and
-    joins on the node, holds one row per link, and is written to the shared folder. Nodes without links are absent.
+    Up to FEW_ROWS links are united in one task, as a few numbers each. More take turns of a large-star and a small-star step until
+    they no longer change. Each step is two aggregations and joins on the node, holds one row per link, and is written to the shared
+    folder; the engine splits what hubs send to one task. Nodes without links are absent.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if edges.count() <= FEW_ROWS:
+        prepare(links.sparkSession)
+        out = stored(edges.coalesce(1).mapInArrow(_united, "node long, root long"), "roots")
+        forget(edges)
+        return out
     for _ in range(rounds):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -16,7 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, stored, table
@@ -44,11 +44,11 @@ def _counts(g: str, esc: str) -> dict[str, str]:
     }
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic and n_tokens of each row."""
-    base = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
-    counts = base.selectExpr("doc_id", "source", "lang", *(f"{x} AS {k}" for k, x in _counts("", "\\\\").items()))
-    return counts.selectExpr("doc_id", "source", "lang", f"{TOPIC} AS topic", "CAST(n_words + 1 AS bigint) AS n_tokens")
+def described(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `also`, source, lang, topic and n_tokens of each row."""
+    base = docs.select("doc_id", *also, F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("t"))
+    counts = base.selectExpr("doc_id", *also, "source", "lang", *(f"{x} AS {k}" for k, x in _counts("", "\\\\").items()))
+    return counts.selectExpr("doc_id", *also, "source", "lang", f"{TOPIC} AS topic", "CAST(n_words + 1 AS bigint) AS n_tokens")
 
 
 def _targets(values: np.ndarray, tokens: np.ndarray, power: float, given: dict[str, float] | None) -> np.ndarray:
@@ -113,17 +113,27 @@ def _factor(cells: DataFrame, budget: float) -> float:
     return low
 
 
-def mix(docs: DataFrame, *, budget: float = BUDGET, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
-    """Documents as in described(), each with its probability, weight and whether it is kept."""
-    found = stored(docs, "described")
+def sampling(found: DataFrame, *, budget: float = BUDGET, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
+    """The probability and weight of each cell of found (stored, as in described())."""
     dims = list(powers)
     cells = rake(found.groupBy(dims).agg(F.sum("n_tokens").alias("tokens")), rounds=rounds, powers=powers, targets=targets, max_cells=max_cells)
     f = _factor(cells, budget)
     ratio = F.col("w") / F.col("tokens")
     p = F.round(F.least(F.lit(1.0), f * ratio), 6)
-    cells = cells.select(*dims, p.alias("probability"), F.when(p > 0, F.round(ratio / p, 4)).otherwise(0.0).alias("weight"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + SEED))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    return found.join(cells, dims).select("doc_id", *dims, "n_tokens", "probability", "weight", (draw < F.col("probability")).alias("kept"))
+    return cells.select(*dims, p.alias("probability"), F.when(p > 0, F.round(ratio / p, 4)).otherwise(0.0).alias("weight"))
+
+
+def draw() -> Column:
+    """A number from 0 to 1 of a row's doc_id."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + SEED))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def mix(docs: DataFrame, *, budget: float = BUDGET, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Documents as in described(), each with its probability, weight and whether it is kept."""
+    found = stored(docs, "described")
+    dims = list(powers)
+    cells = sampling(found, budget=budget, rounds=rounds, powers=powers, targets=targets, max_cells=max_cells)
+    return found.join(cells, dims).select("doc_id", *dims, "n_tokens", "probability", "weight", (draw() < F.col("probability")).alias("kept"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,13 +145,15 @@ STAGE_BUDGET = 0.9
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the sampled documents; rows of one doc_id share a draw and, where they differ, the largest probability."""
-    found = mix(described(docs), budget=STAGE_BUDGET)
-    out = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept")
-    return docs.join(out.select(F.col("doc_id").alias("_out")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti").select(docs.columns)
+    """Keep the sampled rows. Each row has the probability of its own cell; rows of one doc_id, or without one, share a draw.
+    The texts are read once more and not moved, unless there are too many cells to be sent to every task."""
+    cells = sampling(stored(described(docs), "described"), budget=STAGE_BUDGET)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).select("row", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "lang", "text")])
+    mixed = described(rows, ("row",)).join(cells, list(POWERS))
+    return mixed.where(draw() < F.col("probability")).select("row.*")
 
 
-def oracle() -> str:
+def oracle(budget: float = BUDGET) -> str:
     dims = list(POWERS)
     steps, last = [], "c0"
     for r in range(ROUNDS):
@@ -162,7 +174,7 @@ c0 AS MATERIALIZED (SELECT cells.*, {scaled}, tokens AS w FROM cells {joins}),
 {", ".join(steps)},
 sorted AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY w / tokens DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
   sum(w) OVER (ORDER BY w / tokens DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {last}),
-tried AS (SELECT ({BUDGET} * (SELECT sum(tokens) FROM cells) - capped) / rest AS f, w / tokens AS ratio FROM sorted),
+tried AS (SELECT ({budget} * (SELECT sum(tokens) FROM cells) - capped) / rest AS f, w / tokens AS ratio FROM sorted),
 factor AS (SELECT max(f) FILTER (f * ratio <= 1) AS f FROM tried),
 drawn AS (SELECT source, lang, topic, round(least(1.0, f * w / tokens), 6) AS probability, w / tokens AS ratio FROM {last}, factor)
 SELECT doc_id, source, lang, topic, n_tokens, probability, CASE WHEN probability > 0 THEN round(ratio / probability, 4) ELSE 0 END AS weight,

@@ -14,11 +14,12 @@ quality 0.5; repeated rows each count for their sites; other columns are ignored
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import few, stored, table
 
 SCALE = 1_000_000
 LEAST, MOST = 1.0, 10_000.0
@@ -50,11 +51,11 @@ def bin_sql(count: str, of: str, ends: list[int]) -> str:
     return f"CASE WHEN n_chars = 0 THEN -1 ELSE {' + '.join(f'CASE WHEN 1000 * CAST({count} AS bigint) >= {e} * CAST({of} AS bigint) THEN 1 ELSE 0 END' for e in ends)} END"
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, host, path and the bin of each feature."""
-    base = docs.select("doc_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("t"))
-    counts = base.selectExpr("doc_id", "host", "path", *(f"{x.format(**SPARK)} AS {k}" for k, x in COUNTS.items()))
-    return counts.selectExpr("doc_id", "host", "path", *(f"{bin_sql(c, of, ends)} AS {name}" for name, c, of, ends in FEATURES))
+def features(docs: DataFrame, also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `also`, host, path and the bin of each feature."""
+    base = docs.select(*also, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    counts = base.selectExpr(*also, "host", "path", *(f"{x.format(**SPARK)} AS {k}" for k, x in COUNTS.items()))
+    return counts.selectExpr(*also, "host", "path", *(f"{bin_sql(c, of, ends)} AS {name}" for name, c, of, ends in FEATURES))
 
 
 def _logit(p: Column) -> Column:
@@ -65,11 +66,31 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, evidence (log likelihood ratio), host_share, path_share, quality (0 to 1) and good (quality of a half or more).
+@dataclass
+class Model:
+    """What labels and sites say: a row's evidence and own probability (from its bins), and the sites' sums."""
+
+    evidence: Column
+    own: Column
+    sites: DataFrame  # host, path, path_sum, path_n, host_sum, host_n
+    mean: float
+    host_strength: float
+    path_strength: float
+    rated: DataFrame  # doc_id, host, path, evidence, own of each row
+
+    def rate(self, rows: DataFrame) -> DataFrame:
+        """rows (host, path, evidence, own; others stay) with host_share, path_share and quality. Sites are sent to every task up to
+        a checked number; beyond, rows are shuffled, and the engine splits hot sites."""
+        own, a, b = F.col("own") / SCALE, self.host_strength, self.path_strength
+        host_share = (a * self.mean + F.col("host_sum") / SCALE - own) / (a + F.col("host_n") - 1)
+        path_share = (b * F.col("host_share") + F.col("path_sum") / SCALE - own) / (b + F.col("path_n") - 1)
+        out = rows.join(few(self.sites), ["host", "path"]).withColumn("host_share", host_share).withColumn("path_share", path_share)
+        quality = _sigmoid(F.col("evidence") + _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_share")))))
+        return out.withColumn("quality", F.round(quality, 6))
 
-    docs: doc_id, text, host, path. labels: doc_id, quality (0 or 1).
-    """
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """docs: doc_id, text, host, path. labels: doc_id, quality (0 or 1)."""
     found = stored(features(docs), "features")
     known = found.join(labels.where("quality is not null and doc_id is not null").select("doc_id", "quality"), "doc_id")
     # a few bins: bounded by FEATURES
@@ -89,9 +110,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return out
 
     evidence = sum((ratio(name, len(ends) + 2) for name, _, _, ends in FEATURES), F.lit(0.0))
-    first_guess = F.round(_sigmoid(evidence + math.log(prior / (1 - prior))) * SCALE).cast("long")
-    rated = found.select("doc_id", "host", "path", evidence.alias("evidence"), first_guess.alias("own"))
-    rated = stored(rated, "rated")
+    own = F.round(_sigmoid(evidence + math.log(prior / (1 - prior))) * SCALE).cast("long")
+    rated = stored(found.select("doc_id", "host", "path", evidence.alias("evidence"), own.alias("own")), "rated")
     paths = rated.groupBy("host", "path").agg(F.sum("own").alias("path_sum"), F.count("*").alias("path_n"))
     hosts = paths.groupBy("host").agg(F.sum("path_sum").alias("host_sum"), F.sum("path_n").alias("host_n"))
     total = hosts.agg(F.sum("host_sum").alias("s"), F.sum("host_n").alias("n"), F.count("*").alias("k")).first()
@@ -107,19 +127,25 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     a = strength(hosts, "host_sum", "host_n", F.lit(mean))
     hosts = hosts.withColumn("host_mean", (a * mean + F.col("host_sum") / SCALE) / (a + F.col("host_n")))
-    both = paths.join(hosts, "host")
+    both = stored(paths.join(hosts, "host"), "sites")
     b = strength(both, "path_sum", "path_n", F.col("host_mean"))
-    own = F.col("own") / SCALE
-    host_share = (a * mean + F.col("host_sum") / SCALE - own) / (a + F.col("host_n") - 1)
-    path_share = (b * F.col("host_share") + F.col("path_sum") / SCALE - own) / (b + F.col("path_n") - 1)
-    out = rated.join(both.drop("host_mean"), ["host", "path"]).withColumn("host_share", host_share).withColumn("path_share", path_share)
-    quality = _sigmoid(F.col("evidence") + _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_share")))))
-    return out.select("doc_id", F.round("evidence", 6).alias("evidence"), F.round("host_share", 6).alias("host_share"), F.round("path_share", 6).alias("path_share"), F.round(quality, 6).alias("quality"), (F.round(quality, 6) >= 0.5).alias("good"))
+    return Model(evidence, own, both.drop("host_mean"), mean, a, b, rated)
 
 
-def _sites(docs: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, evidence (log likelihood ratio), host_share, path_share, quality (0 to 1) and good (quality of a half or more)."""
+    model = learn(docs, labels)
+    out = model.rate(model.rated)
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "host_share", "path_share")], "quality", (F.col("quality") >= 0.5).alias("good"))
+
+
+def _site(source: str, lang: str) -> tuple[Column, Column]:
     """documents have no address: the source is the host, source and language the path."""
-    return docs.select("doc_id", "text", F.col("source").alias("host"), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("path"))
+    return F.col(source).alias("host"), F.concat_ws("/", F.coalesce(source, F.lit("")), F.coalesce(lang, F.lit(""))).alias("path")
+
+
+def _sites(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", *_site("source", "lang"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +153,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose quality is a half or more. Rows of one doc_id stay or go together."""
-    found = classify(_sites(docs), table(spark, sf_dir, "labels"))
-    bad = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q < 0.5").select("doc_id")
-    return docs.join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """Keep the rows whose quality is a half or more. Each row is judged by its own text and site, also without a doc_id and
+    where rows share one; the texts are read once more and not moved."""
+    model = learn(_sites(docs), table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = features(rows.select("row", F.col("row.text").alias("text"), *_site("row.source", "row.lang")), ("row",))
+    rated = model.rate(rows.select("row", "host", "path", model.evidence.alias("evidence"), model.own.alias("own")))
+    return rated.where("quality >= 0.5").select("row.*")
 
 
 def oracle() -> str:

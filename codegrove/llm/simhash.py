@@ -238,6 +238,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE_WORDS, PART, OF = 5, 4, 5
 #: Documents, about, whose shingles are counted to tell the common ones, and how many of those are told at most. Neither changes a result.
 SAMPLE, COMMON = 20_000, 100_000
+#: Bits of a set's parities: how often, even or odd, it has hashes that end in each number. Sets differ in as many shingles as bits, or more.
+PARITY = 512
+#: How often components look for their likeliest partners, and among how many rows of a shingle, before all pairs still apart are compared. Neither changes a result.
+ROUNDS, CROWD = 2, 20_000
 #: Sets that are compared with one other at once.
 CHUNK = 1000
 
@@ -274,14 +278,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, print of the set of shingles, its size, and its prefix: with any one order of all shingles, here the
+    """doc_id, fingerprint, print of the set of shingles, its size, parity bits, and its prefix: with any one order of all shingles, here the
     rare ones first, sets at the least similarity share one of the first size - least share + 1."""
     prepare(docs.sparkSession)
     known, often = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, prints, sizes, firsts = [], [], [], []
+            fps, prints, sizes, bits, firsts = [], [], [], [], []
             for x in b.column(1).to_pylist():
                 hashes = list(_digests(_split(x), STAGE_WORDS))
                 own = _distinct(b"".join(hashes))
@@ -292,10 +296,11 @@ def shingle_prefixes(docs: DataFrame) -> DataFrame:
                 fps.append(_vote(iter(hashes)))
                 prints.append(_print(own))
                 sizes.append(len(own))
+                bits.append(np.packbits(np.bincount(own & (PARITY - 1), minlength=PARITY) & 1).view(np.int64))
                 firsts.append(own[np.lexsort((own, count))][: len(own) - (PART * len(own) + OF - 1) // OF + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(firsts)], ["doc_id", "fp", "print", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(bits), _lists(firsts)], ["doc_id", "fp", "print", "size", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, print long, size int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, print long, size int, bits array<long>, prefix array<long>")
 
 
 def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -341,11 +346,12 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Links (a, b) of prints, whose components are those of all pairs at the least similarity.
 
-    First those that the grid of fingerprints proposes; then prints that share a shingle of their prefixes, each with the
-    smallest of them; then the pairs that share one and that these links leave apart. So a large group of near copies is
-    compared with one of them, not each with each.
+    First those that the grid of fingerprints proposes; then, ROUNDS times, of the prints that share a shingle of their prefixes each
+    with the likeliest one of another component; then all pairs that share one and that these links leave apart. So of a large
+    group of near copies few pairs are compared, not each with each. Pairs are left out only if their places in the prefixes or
+    their parity bits show that they can't have the least similarity.
     """
-    nodes = stored(prints.where("size > 0").groupBy("print").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "nodes")
+    nodes = stored(prints.where("size > 0").groupBy("print").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "nodes")
     same = nodes.groupBy("fp").agg(F.min("print").alias("low"))
     close = components(near_links(same.select("fp"))).withColumnRenamed("node", "fp")
     named = nodes.select("print", "fp").join(close, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -354,30 +360,92 @@ def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
     rows = nodes.select("print", "size", F.posexplode("prefix").alias("at", "h"))
     by = Window.partitionBy("h")
-    rows = rows.withColumns({"n": F.count("*").over(by), "low": F.min(F.struct("print", "size", "at")).over(by)})
-    shared = stored(rows.where("n > 1").drop("n"), "shared")
-
-    def near(a: str, b: str, i: str, j: str) -> F.Column:
-        """Whether sets of these sizes, whose first common shingle is at these places, can have the least similarity."""
-        most = F.least(F.col(a) - F.col(i), F.col(b) - F.col(j))
-        return (OF + PART) * most >= PART * (F.col(a) + F.col(b))
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs that the links so far leave apart."""
-        for x in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-        return pairs.where("ra != rb").select("a", "b")
-
-    first = shared.select(F.col("print").alias("a"), "size", "at", F.col("low.print").alias("b"), F.col("low.size").alias("s"), F.col("low.at").alias("j")).where(F.col("a") != F.col("b"))
-    first = first.where(near("size", "s", "at", "j")).select("a", "b").distinct()
-    links = links.unionByName(checked(docs, nodes, apart(first, components(links))))
-    roots = stored(components(links), "roots")
-    long = shared.drop("low").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    mixed = F.min("root").over(by) != F.max("root").over(by)
-    long = long.withColumn("mixed", mixed).where("mixed").drop("mixed")
-    a, b = long.toDF("a", "sa", "i", "h", "ra"), long.toDF("b", "sb", "j", "h", "rb")
-    rest = a.hint("merge").join(b, (a["h"] == b["h"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("sa", "sb", "i", "j"))
-    return links.unionByName(checked(docs, nodes, rest.select("a", "b").distinct()))
+    shared = stored(rows.withColumn("n", F.count("*").over(by)).where("n > 1").drop("n"), "shared")
+
+    def apart(links: DataFrame) -> DataFrame:
+        """The rows of shared with their roots by the links so far, of the shingles that have several roots."""
+        long = shared.join(components(links).withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+        several = F.min("root").over(by) != F.max("root").over(by)
+        return stored(long.withColumn("several", several).where("several").drop("several").join(nodes.select("print", "bits"), "print"), "apart")
+
+    long = apart(links)
+    for _ in range(ROUNDS):
+        links = links.unionByName(checked(docs, nodes, nearest(long)))
+        forget(long)
+        long = apart(links)
+    # shingles of few rows in blocks, those of more by a join
+    counted = long.withColumn("n", F.count("*").over(by))
+    few_rows, many = counted.where(F.col("n") <= CROWD), counted.where(F.col("n") > CROWD)
+    a, b = (many.select("print", "size", "at", "h", "root", "bits").toDF(x, f"s{x}", f"i{x}", "h", f"r{x}", f"m{x}") for x in "ab")
+    most = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib"))
+    differ = sum((F.bit_count(F.get("ma", F.lit(k)).bitwiseXOR(F.get("mb", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    may = ((OF + PART) * most >= PART * (F.col("sa") + F.col("sb"))) & ((OF + PART) * differ <= (OF - PART) * (F.col("sa") + F.col("sb")))
+    rest = a.hint("merge").join(b, (a["h"] == b["h"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may).select("a", "b")
+    return links.unionByName(checked(docs, nodes, nearest(few_rows, every=True).unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+
+
+def nearest(long: DataFrame, *, every: bool = False) -> DataFrame:
+    """Of each row of long (h, print, size, at, root, bits), the print with another root and the same shingle whose parity bits differ
+    least, if the two can have the least similarity, as distinct pairs (a, b). Of a shingle of more than CROWD rows, among these many.
+    With `every`, all such prints, not only that whose bits differ least, of shingles of at most CROWD rows; a task gives a pair once."""
+
+    def best(size: np.ndarray, at: np.ndarray, root: np.ndarray, bits: np.ndarray, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Places of some of a shingle's rows that have a partner, and the partners' places."""
+        both = size[rows, None] + size
+        may = (root[rows, None] != root) & ((OF + PART) * np.minimum((size - at)[rows, None], size - at) >= PART * both)
+        differ = np.bitwise_count(bits[rows, None] ^ bits).sum(2, dtype=np.int64)
+        differ = np.where(may & ((OF + PART) * differ <= (OF - PART) * both), differ, PARITY + 1)
+        if every:
+            return np.nonzero(differ <= PARITY)
+        place = differ.argmin(1)
+        some = np.flatnonzero(differ[np.arange(len(place)), place] <= PARITY)
+        return some, place[some]
+
+    def pairs(h: np.ndarray, name: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        edges = np.flatnonzero(h[1:] != h[:-1]) + 1
+        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(h)]])
+        two = starts[ends - starts == 2]
+        both = size[two] + size[two + 1]
+        may = (root[two] != root[two + 1]) & ((OF + PART) * np.minimum((size - at)[two], (size - at)[two + 1]) >= PART * both)
+        two = two[may & ((OF + PART) * np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64) <= (OF - PART) * both)]
+        found = [np.stack([name[two], name[two + 1]])]
+        for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+            step = max(1, 250_000 // (e - s))
+            for first in range(s, e, step):
+                some, place = best(size[s:e], at[s:e], root[s:e], bits[s:e], slice(first - s, first - s + step))
+                found.append(np.stack([name[first:e][some], name[s:e][place]]))
+        return np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
+
+        def fresh(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            new = [x for x in zip(b.tolist(), a.tolist(), strict=True) if x not in given]
+            if len(given) > 1_000_000:
+                given.clear()
+            given.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [np.asarray(batch.column(k)).astype(np.int64) for k in range(5)] + [np.asarray(batch.column(5).flatten()).astype(np.int64).view(np.uint64).reshape(-1, PARITY // 64)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            edges = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+            cut = edges[-1] + 1 if len(edges) else 0
+            if not every and len(cols[0]) - cut > CROWD:
+                cut = len(cols[0])
+            if cut:
+                yield fresh(*pairs(*(x[:cut] for x in cols)))
+            held = [x[cut:] for x in cols]
+        if held is not None and len(held[0]):
+            yield fresh(*pairs(*held))
+
+    with batches_of(long.sparkSession, 20_000):
+        rows = long.select("h", "print", "size", "at", "root", "bits").repartition("h").sortWithinPartitions("h")
+        return stored(rows.mapInArrow(run, "a long, b long").distinct(), "pairs")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,8 +178,23 @@ def test_components(spark, links):
         if a != b:
             a, b = top(a), top(b)
             root[max(a, b)] = min(a, b)
-    found = common.components(spark.createDataFrame(links, "a long, b long"))
-    assert {tuple(r) for r in found.select("node", "root").collect()} == {(x, top(x)) for x in root}
+    for few in (0, common.FEW_ROWS):  # on tables, and in one task
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "FEW_ROWS", few)
+            found = common.components(spark.createDataFrame(links, "a long, b long"))
+        assert {tuple(r) for r in found.select("node", "root").collect()} == {(x, top(x)) for x in root}
+
+
+@settings(max_examples=100, deadline=None)
+@given(links=st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), max_size=120))
+def test_united(links):
+    import pyarrow as pa
+
+    nodes = sorted({x for ab in links for x in ab})
+    root = united(len(nodes), [(nodes.index(a), nodes.index(b)) for a, b in links])
+    batches = [pa.record_batch([pa.array([a for a, _ in x], pa.int64()), pa.array([b for _, b in x], pa.int64())], ["a", "b"]) for x in (links[:50], links[50:])]
+    (out,) = common._united(iter(batches))
+    assert dict(zip(out["node"].to_pylist(), out["root"].to_pylist(), strict=True)) == {x: nodes[root[k]] for k, x in enumerate(nodes)}
 
 
 # packing
