@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +26,20 @@ def prepare(spark: SparkSession) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows for the jobs that run inside; afterwards the session has its own limit again."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def batches_of(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Arrow batches of so many rows for the jobs that run inside; afterwards the session has its own limit again."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 #: Rows of a few numbers up to which they are sent to every executor: some 100 MB as a hash table.
 FEW_ROWS = 1_000_000
 
@@ -62,10 +65,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, and survives lost executors."""
+    """Write df as a table in the shared folder and read it again: cuts the lineage, and survives lost executors.
+
+    What was shuffled for it goes with the end of the write, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codegrove/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

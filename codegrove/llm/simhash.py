@@ -255,6 +255,18 @@ def _distinct(hashes: bytes) -> np.ndarray:
     return np.unique(np.frombuffer(hashes, ">i8").astype(np.int64))
 
 
+def parities(own: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bits of a set: of each number below `bits`, a power of two, if an odd number of hashes ends in it."""
+    return np.packbits(np.bincount(own & (bits - 1), minlength=bits) & 1).view(np.int64)
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """Parity bits in `n` words from those of the same set in more."""
+    while len(words) > n:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _print(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
 
@@ -278,14 +290,15 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, print of the set of shingles, its size, parity bits, and its prefix: with any one order of all shingles, here the
-    rare ones first, sets at the least similarity share one of the first size - least share + 1."""
+    """doc_id, fingerprint, print of the set of shingles, its size, parity bits, of a set of more than PARITY shingles also as many as it has
+    shingles or more, and its prefix: with any one order of all shingles, here the rare ones first, sets at the least similarity share one
+    of the first size - least share + 1."""
     prepare(docs.sparkSession)
     known, often = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, prints, sizes, bits, firsts = [], [], [], [], []
+            fps, prints, sizes, bits, wide, firsts = [], [], [], [], [], []
             for x in b.column(1).to_pylist():
                 hashes = list(_digests(_split(x), STAGE_WORDS))
                 own = _distinct(b"".join(hashes))
@@ -296,22 +309,57 @@ def shingle_prefixes(docs: DataFrame) -> DataFrame:
                 fps.append(_vote(iter(hashes)))
                 prints.append(_print(own))
                 sizes.append(len(own))
-                bits.append(np.packbits(np.bincount(own & (PARITY - 1), minlength=PARITY) & 1).view(np.int64))
+                most = parities(own, max(PARITY, 1 << (len(own) - 1).bit_length()))
+                bits.append(folded(most, PARITY // 64))
+                wide.append(most[: len(most) if len(own) > PARITY else 0])
                 firsts.append(own[np.lexsort((own, count))][: len(own) - (PART * len(own) + OF - 1) // OF + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(bits), _lists(firsts)], ["doc_id", "fp", "print", "size", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), _lists(bits), _lists(wide), _lists(firsts)], ["doc_id", "fp", "print", "size", "bits", "wide", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, print long, size int, bits array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, print long, size int, bits array<long>, wide array<long>, prefix array<long>")
 
 
-def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b: prints of nodes) whose sets have the least similarity. Each b's text meets the texts of up to CHUNK
-    of its partners in one task; no other text is moved."""
-    spark = docs.sparkSession
+def _partners(pairs: DataFrame) -> DataFrame:
+    """Rows (print, b, chunk, place) of the pairs (a, b): each b, at place 0, with each chunk of about CHUNK of its partners."""
     pairs = pairs.withColumn("n", F.count("*").over(Window.partitionBy("b")))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     members = pairs.select(F.col("a").alias("print"), "b", F.pmod(F.xxhash64("a"), chunks).cast("int").alias("chunk"), F.lit(1).alias("place"))
     heads = pairs.select("b", chunks.alias("n")).distinct().select(F.col("b").alias("print"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), F.lit(0).alias("place"))
-    where = stored(members.unionByName(heads).join(nodes.select("print", "doc_id"), "print"), "where")
+    return members.unionByName(heads)
+
+
+def likely(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b: prints of nodes) that parity bits as many as the smaller set has shingles don't rule out. PARITY bits differ in
+    about half at most, and so rule out no pair of long texts; no text is moved for pairs that share a shingle by chance."""
+    of = nodes.select("print", "size", F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("bits")).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own, size = None, None, 0
+        for batch in batches:
+            a, b = [], []
+            words = np.asarray(batch.column(5).flatten()).astype(np.int64).view(np.uint64)
+            ends = np.cumsum([0, *batch.column(5).value_lengths().to_pylist()])
+            for i, (key, chunk, place, name, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                found = words[ends[i] : ends[i + 1]]
+                if place == 0:
+                    head, own, size = (key, chunk), found.copy(), n
+                elif (key, chunk) == head:
+                    short = min(len(own), len(found))
+                    differ = int(np.bitwise_count(folded(own, short) ^ folded(found, short)).sum())
+                    if (OF + PART) * differ <= (OF - PART) * (size + n):
+                        a.append(name), b.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    prepare(nodes.sparkSession)
+    rows = _partners(pairs).join(of, "print").select("b", "chunk", "place", "print", "size", "words")
+    dealt = rows.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "place")
+    return stored(dealt.mapInArrow(run, "a long, b long"), "likely")
+
+
+def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b: prints of nodes) whose sets have the least similarity. Each b's text meets the texts of up to CHUNK
+    of its partners in one task; no other text is moved."""
+    spark = docs.sparkSession
+    where = stored(_partners(pairs).join(nodes.select("print", "doc_id"), "print"), "where")
     texts = docs.select("doc_id", "text").join(few(where.where("doc_id IS NOT NULL")), "doc_id").select("b", "chunk", "place", "print", "text")
     lone = where.where("doc_id IS NULL").drop("doc_id")
     if not lone.isEmpty():
@@ -343,24 +391,46 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (a, b) of prints, whose components are those of all pairs at the least similarity.
+def nodes_of(prints: DataFrame) -> DataFrame:
+    """One row for each print of a text with words, of the rows of shingle_prefixes()."""
+    first = (F.first(c).alias(c) for c in ("size", "bits", "wide", "prefix"))
+    return prints.where("size > 0").groupBy("print").agg(*first, F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
+
+
+def sharing(nodes: DataFrame) -> DataFrame:
+    """Rows (h, print, size, at) of the prefixes' shingles, but for those that no other row of the shingle can be a partner of: by
+    its size and its place a row can have partners of a `reach` at most (times PART). Of two rows the other is known; of more the
+    smallest and the farthest stand in for it."""
+    by = Window.partitionBy("h")
+    rows = nodes.select("print", "size", F.posexplode("prefix").alias("at", "h")).withColumn("reach", (OF + PART) * (F.col("size") - F.col("at")) - PART * F.col("size"))
+    rows = rows.select("*", F.count("*").over(by).alias("n"), *(f(c).over(by).alias(f"{f.__name__}_{c}") for f, c in ((F.sum, "size"), (F.sum, "reach"), (F.min, "size"), (F.max, "reach"))))
+    other = F.when(F.col("n") == 2, F.col("sum_size") - F.col("size")).otherwise(F.col("min_size"))
+    reach = F.when(F.col("n") == 2, F.col("sum_reach") - F.col("reach")).otherwise(F.col("max_reach"))
+    return rows.where((F.col("n") > 1) & (F.col("reach") >= PART * other) & (reach >= PART * F.col("size"))).select("print", "size", "at", "h")
+
+
+def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of the prints of nodes, whose components are those of all pairs at the least similarity.
 
     First those that the grid of fingerprints proposes; then, ROUNDS times, of the prints that share a shingle of their prefixes each
     with the likeliest one of another component; then all pairs that share one and that these links leave apart. So of a large
     group of near copies few pairs are compared, not each with each. Pairs are left out only if their places in the prefixes or
     their parity bits show that they can't have the least similarity.
     """
-    nodes = stored(prints.where("size > 0").groupBy("print").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "nodes")
     same = nodes.groupBy("fp").agg(F.min("print").alias("low"))
     close = components(near_links(same.select("fp"))).withColumnRenamed("node", "fp")
     named = nodes.select("print", "fp").join(close, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = named.groupBy("root").agg(F.min("print").alias("b"))
     links = checked(docs, nodes, named.join(low, "root").where("print != b").select(F.col("print").alias("a"), "b"))
 
-    rows = nodes.select("print", "size", F.posexplode("prefix").alias("at", "h"))
     by = Window.partitionBy("h")
-    shared = stored(rows.withColumn("n", F.count("*").over(by)).where("n > 1").drop("n"), "shared")
+    shared = stored(sharing(nodes), "shared")
+
+    def similar_of(pairs: DataFrame) -> DataFrame:
+        some = likely(nodes, pairs)
+        found = checked(docs, nodes, some)
+        forget(some)
+        return found
 
     def apart(links: DataFrame) -> DataFrame:
         """The rows of shared with their roots by the links so far, of the shingles that have several roots."""
@@ -370,9 +440,12 @@ def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
     long = apart(links)
     for _ in range(ROUNDS):
-        links = links.unionByName(checked(docs, nodes, nearest(long)))
+        pairs = nearest(long)
         forget(long)
+        links = links.unionByName(similar_of(pairs))
+        forget(pairs)
         long = apart(links)
+    forget(shared)
     # shingles of few rows in blocks, those of more by a join
     counted = long.withColumn("n", F.count("*").over(by))
     few_rows, many = counted.where(F.col("n") <= CROWD), counted.where(F.col("n") > CROWD)
@@ -381,7 +454,11 @@ def similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
     differ = sum((F.bit_count(F.get("ma", F.lit(k)).bitwiseXOR(F.get("mb", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
     may = ((OF + PART) * most >= PART * (F.col("sa") + F.col("sb"))) & ((OF + PART) * differ <= (OF - PART) * (F.col("sa") + F.col("sb")))
     rest = a.hint("merge").join(b, (a["h"] == b["h"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may).select("a", "b")
-    return links.unionByName(checked(docs, nodes, nearest(few_rows, every=True).unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    pairs = nearest(few_rows, every=True)
+    links = links.unionByName(similar_of(pairs.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    forget(pairs)
+    forget(long)
+    return links
 
 
 def nearest(long: DataFrame, *, every: bool = False) -> DataFrame:
@@ -451,8 +528,12 @@ def nearest(long: DataFrame, *, every: bool = False) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component: of the smallest doc_id, rows without one last, and of this doc_id's texts that with the
     smallest hash. Rows of one doc_id with texts of different components are documents of their own."""
-    prints = stored(shingle_prefixes(docs), "prints")
-    roots = components(similar(docs, prints)).toDF("print", "root")
+    whole = stored(shingle_prefixes(docs), "whole")
+    nodes = stored(nodes_of(whole), "nodes")
+    prints = stored(whole.select("doc_id", "print"), "prints")
+    forget(whole)
+    roots = components(similar(docs, nodes)).toDF("print", "root")
+    forget(nodes)
     found = prints.select("doc_id", "print").join(roots, "print", "left").select("doc_id", "print", F.coalesce("root", "print").alias("root"))
     heads = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("x")).select("x.doc_id", "x.print")
     heads = stored(heads, "heads")

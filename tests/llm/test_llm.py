@@ -166,6 +166,61 @@ def test_simhash_stage_keeps_one_of_similar_texts(spark):
     assert simhash.stage(spark, rows, "").count() == len(set(root))
 
 
+def test_simhash_stage_moves_no_texts_of_long_documents_that_share_a_line(spark, monkeypatch):
+    pick = np.random.default_rng(6)
+    line = " one line that many long documents have somewhere in their text "
+    texts = [" ".join(f"w{int(x)}" for x in pick.integers(0, 1 << 30, 2000)) for _ in range(12)]
+    texts = [t[: k * 500] + line + t[k * 500 :] for k, t in enumerate(texts)]
+    texts.append(texts[3].replace("w1", "v1", 20))
+    met = []
+    checked = simhash.checked
+    monkeypatch.setattr(simhash, "checked", lambda docs, nodes, pairs: met.append(pairs.count()) or checked(docs, nodes, pairs))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.stage(spark, rows, "").collect()} == set(range(12))
+    assert sum(met) == 1
+
+
+def test_simhash_parities_leave_out_no_similar_pair(spark):
+    pick = np.random.default_rng(7)
+    texts = []
+    for n in (40, 520, 700, 1030, 3000):
+        t = [f"w{int(x)}" for x in pick.integers(0, 1 << 30, n)]
+        texts += [" ".join(t), " ".join(t[: n * 4 // 5 + 1])] + [" ".join("new" if k % (5 * d) == 0 else w for k, w in enumerate(t)) for d in (1, 5, 9, 10, 12)]
+    sets = [simhash.shingles(t) for t in texts]
+    prints = [simhash._print(x) for x in sets]
+    alike = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i)}
+    nodes = common.stored(simhash.nodes_of(simhash.shingle_prefixes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))), "nodes")
+    pairs = spark.createDataFrame([(prints[i], prints[j]) for i, j in alike], "a long, b long")
+    left = {(r["a"], r["b"]) for r in simhash.likely(nodes, pairs).collect()}
+    assert {(prints[i], prints[j]) for (i, j), x in alike.items() if x >= 0.8} <= left
+    assert not left & {(prints[i], prints[j]) for (i, j), x in alike.items() if x < 0.5 and 4 * len(sets[i]) <= 5 * len(sets[j]) <= 6 * len(sets[i])}
+    # rows that sharing() leaves out are those that no row of their shingle is a possible partner of
+    left = {(r["h"], r["print"]) for r in simhash.sharing(nodes).collect()}
+    rows = {}
+    for r in nodes.collect():
+        for at, h in enumerate(r["prefix"]):
+            rows.setdefault(h, []).append((r["print"], r["size"], at))
+    for h, some in rows.items():
+        for p, size, at in some:
+            if any(9 * min(size - at, s - k) >= 4 * (size + s) for q, s, k in some if q != p):
+                assert (h, p) in left
+
+
+def test_stored_leaves_no_shuffled_files(spark):
+    import time
+
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    before = files()
+    rows = common.stored(spark.range(1000).groupBy("id").count(), "rows")
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before
+    assert rows.count() == 1000
+
+
 @settings(max_examples=5, deadline=None)
 @given(links=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, links):
