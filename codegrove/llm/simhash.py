@@ -36,6 +36,8 @@ WORDS, BITS, SEED = 4, 4, 42
 BLOCK = 100_000
 #: Fingerprints of a cell that are searched at once.
 MOST = 1_000_000
+#: Fingerprints whose cells, about a hundred each, are one batch.
+STEP = 5_000
 
 
 def _digests(split: list[bytes], words: int) -> Iterator[bytes]:
@@ -197,9 +199,11 @@ def near_links(nodes: DataFrame, *, bits: int = BITS, most: int = MOST) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.asarray(b.column(0)).astype(np.int64).view(np.uint64)
-            found, at = cells(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(fp[at].view(np.int64))], ["cell", "fp"])
+            every = np.asarray(b.column(0)).astype(np.int64).view(np.uint64)
+            for first in range(0, len(every), STEP):
+                fp = every[first : first + STEP]
+                found, at = cells(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(fp[at].view(np.int64))], ["cell", "fp"])
 
     def search(rows: DataFrame, most: int) -> DataFrame:
         with batches_of(spark, 100_000):
@@ -244,6 +248,8 @@ PARITY = 512
 ROUNDS, CROWD = 2, 20_000
 #: Sets that are compared with one other at once.
 CHUNK = 1000
+#: Pairs, about, that a task holds before it gives them on, and that it remembers as given. Neither changes a result.
+HELD, GIVEN = 500_000, 100_000
 
 
 def shingles(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
@@ -478,29 +484,34 @@ def nearest(long: DataFrame, *, every: bool = False) -> DataFrame:
         some = np.flatnonzero(differ[np.arange(len(place)), place] <= PARITY)
         return some, place[some]
 
-    def pairs(h: np.ndarray, name: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    def pairs(h: np.ndarray, name: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
         edges = np.flatnonzero(h[1:] != h[:-1]) + 1
         starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(h)]])
         two = starts[ends - starts == 2]
         both = size[two] + size[two + 1]
         may = (root[two] != root[two + 1]) & ((OF + PART) * np.minimum((size - at)[two], (size - at)[two + 1]) >= PART * both)
         two = two[may & ((OF + PART) * np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64) <= (OF - PART) * both)]
-        found = [np.stack([name[two], name[two + 1]])]
+        found, held = [np.stack([name[two], name[two + 1]])], len(two)
         for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
             step = max(1, 250_000 // (e - s))
             for first in range(s, e, step):
                 some, place = best(size[s:e], at[s:e], root[s:e], bits[s:e], slice(first - s, first - s + step))
                 found.append(np.stack([name[first:e][some], name[s:e][place]]))
-        return np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+                held += len(some)
+                if held > HELD:
+                    yield np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+                    found, held = [], 0
+        if held:
+            yield np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple[int, int]] = set()
 
         def fresh(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             new = [x for x in zip(b.tolist(), a.tolist(), strict=True) if x not in given]
-            if len(given) > 1_000_000:
+            if len(given) > GIVEN:
                 given.clear()
-            given.update(new)
+            given.update(new[:GIVEN])
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in new], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held: list[np.ndarray] | None = None
@@ -515,10 +526,12 @@ def nearest(long: DataFrame, *, every: bool = False) -> DataFrame:
             if not every and len(cols[0]) - cut > CROWD:
                 cut = len(cols[0])
             if cut:
-                yield fresh(*pairs(*(x[:cut] for x in cols)))
+                for found in pairs(*(x[:cut] for x in cols)):
+                    yield fresh(*found)
             held = [x[cut:] for x in cols]
         if held is not None and len(held[0]):
-            yield fresh(*pairs(*held))
+            for found in pairs(*held):
+                yield fresh(*found)
 
     with batches_of(long.sparkSession, 20_000):
         rows = long.select("h", "print", "size", "at", "root", "bits").repartition("h").sortWithinPartitions("h")

@@ -206,6 +206,32 @@ def test_simhash_parities_leave_out_no_similar_pair(spark):
                 assert (h, p) in left
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_simhash_nearest_gives_pairs_on_in_parts(spark, monkeypatch, every):
+    pick = np.random.default_rng(8)
+    size, bits = 60, [int(x) for x in pick.integers(0, 1 << 62, 8)]
+    rows = [(h, p, size, 0, p, bits) for h in range(3) for p in range(150)]
+    long = spark.createDataFrame(rows, "h long, print long, size int, at int, root long, bits array<long>").coalesce(1)
+    whole = {tuple(r) for r in simhash.nearest(long, every=every).collect()}
+    monkeypatch.setattr(simhash, "HELD", 1000)
+    monkeypatch.setattr(simhash, "GIVEN", 500)
+    assert {tuple(r) for r in simhash.nearest(long, every=every).collect()} == whole
+    assert len(whole) == (150 * 149 // 2 if every else 149)
+
+
+def test_simhash_cells_come_in_small_batches(spark, monkeypatch):
+    cells = simhash.cells
+
+    def bounded(fp):
+        assert len(fp) <= 5000
+        return cells(fp)
+
+    monkeypatch.setattr(simhash, "cells", bounded)
+    pick = np.random.default_rng(9)
+    nodes = spark.createDataFrame([(int(x),) for x in pick.integers(-(1 << 63), (1 << 63) - 1, 12_000)], "fp long").coalesce(1)
+    assert simhash.near_links(nodes).count() == 0
+
+
 def test_stored_leaves_no_shuffled_files(spark):
     import time
 
