@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ids
-from .storage import stored
+from .storage import few, large, members_of, stored
 
 CONCEPT = "id bigint, effective_time date, active boolean, module_id bigint, definition_status_id bigint"
 DESCRIPTION = "id bigint, effective_time date, active boolean, module_id bigint, concept_id bigint, language_code string, type_id bigint, term string, case_significance_id bigint"
@@ -39,18 +39,24 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (descendant, ancestor) of edges (descendant, ancestor), without self pairs.
 
-    Paths double each round, so that a hierarchy of depth d takes log2(d) rounds. A pair that is more than 2^k and at most
+    What has nothing below it, most of a terminology, takes part in no path but its own: its pairs are its edges and what their
+    ends reach, found in one join at the end. For the others paths double each round, so that a hierarchy of depth d takes log2(d) rounds. A pair that is more than 2^k and at most
     2^(k+1) edges apart has a first part of 2^k, found in the round before, so that only the last round's pairs are joined
     with the known ones. A round's new pairs end up as a table, so that plans stay short and lost executors cost one round.
     Cycles end as no pair is new.
     """
-    new = stored(edges.where("descendant IS NOT NULL AND ancestor IS NOT NULL AND descendant <> ancestor").distinct(), "closure")
+    edges = stored(edges.where("descendant IS NOT NULL AND ancestor IS NOT NULL AND descendant <> ancestor").distinct(), "edges")
+    inner = members_of(stored(edges.select(F.col("ancestor").alias("descendant")).distinct(), "inner"))
+    new = stored(edges.join(inner, "descendant", "left_semi").select("descendant", "ancestor"), "closure")
     known = new
     while not new.isEmpty():
-        longer = new.toDF("descendant", "middle").join(known.toDF("middle", "ancestor"), "middle").where("descendant <> ancestor").select("descendant", "ancestor").distinct()
-        new = stored(longer.join(known, ["descendant", "ancestor"], "left_anti"), "closure")
+        longer = new.toDF("descendant", "middle").join(large(known.toDF("middle", "ancestor")), "middle").where("descendant <> ancestor").select("descendant", "ancestor").distinct()
+        new = stored(longer.join(large(known), ["descendant", "ancestor"], "left_anti"), "closure")
         known = known.unionByName(new)
-    return stored(known, "closure")
+    known = stored(known, "closure")
+    outer = edges.join(inner, "descendant", "left_anti").select("descendant", "ancestor")
+    above = outer.toDF("descendant", "middle").join(large(known.toDF("middle", "ancestor")), "middle").select("descendant", "ancestor")
+    return stored(known.unionByName(outer.unionByName(above).repartition("descendant").distinct()), "closure")
 
 
 @dataclass
@@ -74,7 +80,7 @@ class Terminology:
 
     @cached_property
     def isa(self) -> DataFrame:
-        return self.edge.where(F.col("type_id") == ids.IS_A).select(F.col("source_id").alias("child"), F.col("destination_id").alias("parent")).distinct()
+        return stored(self.edge.where(F.col("type_id") == ids.IS_A).select(F.col("source_id").alias("child"), F.col("destination_id").alias("parent")).distinct(), "isa")
 
     @cached_property
     def tc(self) -> DataFrame:
@@ -107,7 +113,7 @@ class Terminology:
 
         c = self.concept.select(F.col("id").alias("concept_id"), F.col("active").alias("concept_active"), "module_id")
         d = self.description.select(F.col("id").alias("description_id"), "concept_id", "term", "type_id", "language_code", F.col("active").alias("description_active"))
-        return stored(with_tokens(d.join(c, "concept_id")), "substrate")
+        return stored(with_tokens(d.join(large(c), "concept_id")), "substrate")
 
     @cached_property
     def installed(self) -> DataFrame:
@@ -122,7 +128,10 @@ class Terminology:
         return known[root]
 
     def ids(self, *values: int) -> DataFrame:
-        return self.spark.createDataFrame([(int(v),) for v in values], "id bigint")
+        """Given ids as a table of known size that is broadcast: rows that many share, as of a type, are not dealt by it."""
+        if not values:
+            return self.spark.range(0)
+        return F.broadcast(self.spark.sql(f"SELECT id FROM VALUES {', '.join(f'(CAST({int(v)} AS bigint))' for v in values)} AS v(id)"))
 
 
 #: The driver's tables as a terminology, in SQL that Spark and DuckDB read alike.
@@ -178,6 +187,8 @@ PROJECTION = {
  UNION ALL SELECT concat('lag-', CAST(id AS varchar(20))), CAST({ids.EN_GB} AS bigint), id * 10 + 1, CAST(NULL AS bigint), CASE WHEN id % 4 = 0 THEN CAST({ids.ACCEPTABLE} AS bigint) ELSE CAST({ids.PREFERRED} AS bigint) END, CAST(NULL AS varchar(50)), CAST(NULL AS bigint), true FROM concept_names WHERE kind IN ('part', 'supplier')
  UNION ALL SELECT concat('fsn-', CAST(id AS varchar(20))), CAST({ids.EN_US} AS bigint), id * 10 + 2, CAST(NULL AS bigint), CAST({ids.PREFERRED} AS bigint), CAST(NULL AS varchar(50)), CAST(NULL AS bigint), true FROM concept_names""",
 }
+#: Names in the driver's tables, each on many rows: joined by broadcast if few, so that rows are not dealt by a name.
+NAMES = ("brand", "ptype", "segment", "priority")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 _made: dict[tuple[str, str], Terminology] = {}
@@ -192,22 +203,30 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Terminology:
     for name, sql in PROJECTION.items():
         text = "".join(f" {sql} ")
         views[name] = spark.sql(_named(text, views), **{f"v_{k}": v for k, v in views.items() if _uses(text, k)})
+        if name in NAMES:
+            views[name] = few(stored(views[name], name))
     concept = views["concept_names"].selectExpr("id", "active", f"{ids.CORE_MODULE} AS module_id", f"CASE WHEN defined THEN {ids.DEFINED} ELSE {ids.PRIMITIVE} END AS definition_status_id")
     member = views["members"].selectExpr("id", "active", "refset_id", "component_id AS referenced_component_id", "target_id AS target_component_id", "acceptability_id", "map_target", "map_priority", "CASE substr(id, 1, 3) WHEN 'seg' THEN 'Simple' WHEN 'map' THEN 'SimpleMap' WHEN 'his' THEN 'Association' ELSE 'Language' END AS component")
     # written once, as an import does, so that no query works the projection out again
     out = Terminology(
         spark,
-        stored(conform(concept, CONCEPT), "concept"),
-        stored(conform(views["descr"], DESCRIPTION), "description"),
-        stored(conform(views["rel"].withColumn("active", F.lit(True)), RELATIONSHIP), "relationship"),
-        stored(conform(views["lit"].drop("number").withColumn("active", F.lit(True)), CONCRETE), "concrete"),
-        stored(conform(member, MEMBER), "member"),
+        _table(concept, "concept", CONCEPT),
+        _table(views["descr"], "description", DESCRIPTION),
+        _table(views["rel"].withColumn("active", F.lit(True)), "relationship", RELATIONSHIP),
+        _table(views["lit"].drop("number").withColumn("active", F.lit(True)), "concrete", CONCRETE),
+        _table(member, "member", MEMBER),
         check_ids=False,
     )
     _made[key] = out
     return out
 
 
+def _table(rows: DataFrame, name: str, schema: str) -> DataFrame:
+    """rows stored with the columns they have; those they lack are added when read, as null columns would take a part of the table's size in estimates."""
+    typed = conform(rows, schema)
+    return conform(stored(typed.select(*[c for c in typed.columns if c in rows.columns]), name), schema)
+
+
 def _uses(sql: str, name: str) -> bool:
     import re
 
