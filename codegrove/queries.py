@@ -89,18 +89,17 @@ query(
 _PAIRS = "pairs AS (SELECT c.id AS a, p.id AS b FROM concept_names c, concept_names p WHERE p.kind IN ('region', 'nation'))"
 
 
-def _pairs(t: Terminology) -> DataFrame:
-    places = [r["id"] for r in t.concept.where("id >= 1000000000 AND id < 3000000000").select("id").collect()]
-    return t.concept.select(F.col("id").alias("a"), F.explode(F.array(*map(F.lit, places))).alias("b"))
+def _places(t: Terminology) -> list[int]:
+    return [r["id"] for r in t.concept.where("id >= 1000000000 AND id < 3000000000").select("id").collect()]
 
 
-query("subsumed_by", "SELECT a, b, descendant IS NOT NULL AS is_a FROM pairs LEFT JOIN tcs ON descendant = a AND ancestor = b", _PAIRS)(lambda t: graph.subsumed_by(t, _pairs(t)))
+query("subsumed_by", "SELECT a, b, descendant IS NOT NULL AS is_a FROM pairs LEFT JOIN tcs ON descendant = a AND ancestor = b", _PAIRS)(lambda t: graph.subsumed_by_each(t, t.concept, _places(t)))
 query(
     "subsumes",
     "SELECT b AS a, a AS b, CASE WHEN a = b THEN 'equivalent' WHEN down.descendant IS NOT NULL THEN 'subsumes' WHEN up.descendant IS NOT NULL THEN 'subsumed-by' ELSE 'not-subsumed' END AS relation"
     " FROM pairs LEFT JOIN tc AS down ON down.descendant = a AND down.ancestor = b LEFT JOIN tc AS up ON up.descendant = b AND up.ancestor = a",
     _PAIRS,
-)(lambda t: graph.subsumes(t, _pairs(t).select(F.col("b").alias("a"), F.col("a").alias("b"))))
+)(lambda t: graph.each_subsumes(t, _places(t), t.concept))
 query("are_any", f"SELECT DISTINCT descendant AS id FROM tcs WHERE ancestor IN ({NATION}, {REGION})")(lambda t: graph.are_any(t, _of(t), t.ids(NATION, REGION)))
 query("leaves", "SELECT id FROM concept_names WHERE id NOT IN (SELECT ancestor FROM tc)")(lambda t: graph.leaves(t, _of(t)))
 query("top_of_set", "SELECT id FROM concept_names WHERE id NOT IN (SELECT descendant FROM tc)")(lambda t: graph.top_leaves(t, _of(t)))
