@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..plans import ids
 from ..plans.model import Terminology
+from ..plans.storage import large, members_of
 
 
 def by_id(rows: DataFrame, *values: int | str) -> DataFrame:
@@ -49,7 +50,7 @@ def synonyms(t: Terminology, concepts: DataFrame, refsets: DataFrame | None = No
     if refsets is None:
         return found
     members = t.member.join(refsets.select(F.col("id").alias("refset_id")), "refset_id", "left_semi").select(F.col("referenced_component_id").alias("id"))
-    return found.where("active").join(members, "id", "left_semi")
+    return found.where("active").join(members_of(members), "id", "left_semi")
 
 
 def refset_items(t: Terminology, components: DataFrame, refset_id: int | None = None) -> DataFrame:
@@ -67,7 +68,7 @@ def preferred_description(t: Terminology, type_id: int, refsets: list[int]) -> D
     """concept_id, description_id and term: the active description of a type that the first of the language reference sets having one prefers, lowest id first."""
     order = F.create_map(*[F.lit(x) for k, r in enumerate(refsets) for x in (r, k)])
     members = t.member.where(F.col("refset_id").isin(refsets) & (F.col("acceptability_id") == ids.PREFERRED)).select(F.col("referenced_component_id").alias("id"), order[F.col("refset_id")].alias("place"))
-    rows = t.description.where(F.col("active") & (F.col("type_id") == type_id)).join(members, "id")
+    rows = t.description.where(F.col("active") & (F.col("type_id") == type_id)).join(large(members), "id")
     return rows.groupBy("concept_id").agg(F.min(F.struct("place", "id", "term")).alias("x")).select("concept_id", F.col("x.id").alias("description_id"), F.col("x.term").alias("term"))
 
 
@@ -80,7 +81,7 @@ def fully_specified_name(t: Terminology, refsets: list[int], *, fallback: bool =
     found = preferred_description(t, ids.FSN, refsets)
     if not fallback:
         return found
-    rest = t.description.where(F.col("type_id") == ids.FSN).join(found.select("concept_id"), "concept_id", "left_anti")
+    rest = t.description.where(F.col("type_id") == ids.FSN).join(large(found.select("concept_id")), "concept_id", "left_anti")
     other = rest.groupBy("concept_id").agg(F.min(F.struct((~F.col("active")).alias("off"), "id", "term")).alias("x")).select("concept_id", F.col("x.id").alias("description_id"), F.col("x.term").alias("term"))
     return found.unionByName(other)
 
@@ -95,19 +96,19 @@ def release_information(t: Terminology) -> DataFrame:
 
 def extended_concept(t: Terminology, refsets: list[int]) -> DataFrame:
     """Concepts with their descriptions (and where these are preferred or acceptable), relationships direct and expanded, literals and reference sets."""
-    from .graph import expanded
+    from .graph import expanded_sets
 
     pick = lambda which: F.sort_array(F.collect_set(F.when(F.col("acceptability_id") == which, F.col("refset_id"))))
     places = t.member.groupBy(F.col("referenced_component_id").alias("id")).agg(F.sort_array(F.collect_set("refset_id")).alias("refsets"), pick(ids.PREFERRED).alias("preferred_in"), pick(ids.ACCEPTABLE).alias("acceptable_in"))
-    d = t.description.join(places, "id", "left").groupBy("concept_id").agg(F.sort_array(F.collect_list(F.struct("id", "active", "type_id", "term", "language_code", "refsets", "preferred_in", "acceptable_in"))).alias("descriptions"))
-    up = expanded(t).groupBy("source_id", "type_id").agg(F.sort_array(F.collect_set("target")).alias("targets")).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("type_id", "targets"))).alias("parents"))
+    d = t.description.join(large(places), "id", "left").groupBy("concept_id").agg(F.sort_array(F.collect_list(F.struct("id", "active", "type_id", "term", "language_code", "refsets", "preferred_in", "acceptable_in"))).alias("descriptions"))
+    up = expanded_sets(t).withColumn("targets", F.sort_array("targets")).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("type_id", "targets"))).alias("parents"))
     direct = t.edge.groupBy("source_id", "type_id").agg(F.sort_array(F.collect_set("destination_id")).alias("targets")).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("type_id", "targets"))).alias("direct_parents"))
     literals = t.literal.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("relationship_group", "type_id", "value"))).alias("concrete_values"))
     own = places.select("id", "refsets")
     out = t.concept
     for rows, key in ((d, "concept_id"), (up, "source_id"), (direct, "source_id"), (literals, "source_id")):
-        out = out.join(rows.withColumnRenamed(key, "id"), "id", "left")
-    return out.join(own, "id", "left").join(preferred_synonym(t, refsets).select(F.col("concept_id").alias("id"), F.col("term").alias("preferred_synonym")), "id", "left")
+        out = out.join(large(rows.withColumnRenamed(key, "id")), "id", "left")
+    return out.join(large(own), "id", "left").join(large(preferred_synonym(t, refsets).select(F.col("concept_id").alias("id"), F.col("term").alias("preferred_synonym"))), "id", "left")
 
 
 def extended_items(t: Terminology, items: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..plans import ids
 from ..plans.model import Terminology
-from ..plans.storage import stored
+from ..plans.storage import large, members_of, stored
 
 #: Characters that a language keeps when folding.
 KEPT = {"da": "æøåÆØÅ", "no": "æøåÆØÅ", "nb": "æøåÆØÅ", "nn": "æøåÆØÅ", "sv": "åäöÅÄÖ", "fi": "åäöÅÄÖ"}
@@ -80,14 +80,14 @@ def _filtered(t: Terminology, *, inactive_concepts: bool, inactive_descriptions:
     if not fsn:
         rows = rows.where(F.col("type_id") != ids.FSN)
     if concept_refsets:
-        rows = rows.join(t.member.where(F.col("refset_id").isin(concept_refsets)).select(F.col("referenced_component_id").alias("concept_id")), "concept_id", "left_semi")
+        rows = rows.join(members_of(t.member.where(F.col("refset_id").isin(concept_refsets)).select(F.col("referenced_component_id").alias("concept_id"))), "concept_id", "left_semi")
     if constraint is not None:
-        rows = rows.join(constraint.select(F.col("id").alias("concept_id")), "concept_id", "left_semi")
+        rows = rows.join(members_of(constraint.select(F.col("id").alias("concept_id"))), "concept_id", "left_semi")
     for type_id, value in (properties or {}).items():
         from .graph import expanded
 
         found = expanded(t).where((F.col("type_id") == type_id) & (F.col("target") == value)).select(F.col("source_id").alias("concept_id"))
-        rows = rows.join(found, "concept_id", "left_semi")
+        rows = rows.join(members_of(found), "concept_id", "left_semi")
     return rows
 
 
@@ -110,7 +110,7 @@ def search(t: Terminology, query: str | None = None, *, max_hits: int | None = N
     from .lookups import preferred_synonym
 
     names = preferred_synonym(t, refsets or [ids.EN_US]).select("concept_id", F.col("term").alias("preferred_term"))
-    return out.select("description_id", "concept_id", "term").join(names, "concept_id", "left")
+    return out.select("description_id", "concept_id", "term").join(large(names), "concept_id", "left")
 
 
 def consecutive_distinct(rows: DataFrame, order: list) -> DataFrame:
@@ -140,7 +140,7 @@ def search_concept_ids(t: Terminology, concepts: DataFrame, refsets: list[int],
 
     order = dict.fromkeys([*refsets, *(fallback if fallback is not None else [ids.EN_US])])
     names = preferred_synonym(t, list(order))
-    out = concepts.select("id").join(names.withColumnRenamed("concept_id", "id"), "id", "left")
+    out = concepts.select("id").join(large(names.withColumnRenamed("concept_id", "id")), "id", "left")
     return out.select("id", "description_id", "term", F.col("term").alias("preferred_term"))
 
 
