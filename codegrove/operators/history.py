@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import ids
 from ..plans.model import Terminology
+from ..plans.storage import present
 from .graph import all_children
 
 #: What the profiles take.
@@ -23,7 +24,7 @@ def profile(t: Terminology, name: str | None) -> DataFrame:
 
 
 def _associations(t: Terminology, refsets: DataFrame) -> DataFrame:
-    return t.association.join(refsets.select(F.col("id").alias("refset_id")), "refset_id", "left_semi")
+    return t.association.join(present(t.association, "refset_id", refsets), "refset_id", "left_semi")
 
 
 def association_targets(t: Terminology, concepts: DataFrame, refset_id: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import Terminology
+from ..plans.storage import members_of
 
 _OPS = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 
@@ -55,4 +56,4 @@ def member_field(t: Terminology, refset_id: int, where: Column) -> DataFrame:
 def reverse_map(t: Terminology, refset_id: int, where: Column) -> DataFrame:
     """Active members of a map for which a condition on the target holds, of components that have any such member."""
     found = member_field(t, refset_id, where)
-    return t.member.where((F.col("refset_id") == refset_id) & where).join(found.toDF("referenced_component_id"), "referenced_component_id", "left_semi")
+    return t.member.where((F.col("refset_id") == refset_id) & where).join(members_of(found.toDF("referenced_component_id")), "referenced_component_id", "left_semi")

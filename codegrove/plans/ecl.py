@@ -19,6 +19,7 @@ from ..operators import graph, history, text
 from ..operators.members import compare, components, wildcard
 from . import ids
 from .model import Terminology
+from .storage import members_of, present
 
 
 class EclError(ValueError):
@@ -365,12 +366,14 @@ class Evaluator:
 
     def concepts(self, source: str | Node) -> DataFrame:
         """Distinct ids of the concepts that a constraint selects."""
-        return self.realise(self.rows(source))
+        return self.rows(source).df.select(F.col("concept_id").alias("id")).distinct()
 
     def realise(self, x: Rows) -> DataFrame:
-        return x.df.select(F.col("concept_id").alias("id")).distinct()
+        return members_of(x.df.select(F.col("concept_id").alias("id")).distinct())
 
-    def lift(self, concepts: DataFrame) -> Rows:
+    def lift(self, concepts: DataFrame, *, given: bool = False) -> Rows:
+        """The rows of a set of concepts, computed or given as ids."""
+        concepts = concepts if given else members_of(concepts)
         return Rows(self.s.join(concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").select("description_id", "concept_id"))
 
     def all(self) -> Rows:
@@ -379,13 +382,13 @@ class Evaluator:
     def both(self, a: Rows, b: Rows) -> Rows:
         if a.everything or b.everything:
             return b if a.everything else a
-        return Rows(a.df.join(b.df.select("description_id"), "description_id", "left_semi").select("description_id", "concept_id"))
+        return Rows(a.df.join(members_of(b.df.select("description_id")), "description_id", "left_semi").select("description_id", "concept_id"))
 
     def either(self, a: Rows, b: Rows) -> Rows:
         return Rows(a.df.union(b.df).distinct())
 
     def without(self, a: Rows, b: Rows) -> Rows:
-        return Rows(a.df.join(b.df.select("description_id"), "description_id", "left_anti").select("description_id", "concept_id"), (a, b))
+        return Rows(a.df.join(members_of(b.df.select("description_id")), "description_id", "left_anti").select("description_id", "concept_id"), (a, b))
 
     def eval(self, n: Node) -> Rows:
         return getattr(self, f"on_{n.kind}")(n)
@@ -414,7 +417,7 @@ class Evaluator:
     def on_dotted(self, n: Node) -> Rows:
         current = self.realise(self.eval(n.of))
         for name in n.names:
-            current = graph.targets(self.t, current, self.realise(self.eval(name)))
+            current = members_of(graph.targets(self.t, current, present(self.t.edge, "type_id", self.realise(self.eval(name))).toDF("id")))
         return self.lift(current)
 
     # focus, operators, filters
@@ -426,8 +429,8 @@ class Evaluator:
         if focus.kind == "alternate":
             raise EclError("not-supported", "alternate identifiers")
         if n.member:
-            refsets = self.t.installed.toDF("id") if focus.kind == "any" else (self.t.ids(focus.id) if focus.kind == "concept" else self.realise(self.eval(focus)))
-            out = self.members(refsets, members) if members else self.lift(components(self.t.member.join(refsets.select(F.col("id").alias("refset_id")), "refset_id", "left_semi")))
+            refsets = None if focus.kind == "any" else (self.t.ids(focus.id).toDF("refset_id") if focus.kind == "concept" else present(self.t.refset_member, "refset_id", self.realise(self.eval(focus))))
+            out = self.members(refsets, members) if members else self.lift(components(self.of_refsets(self.t.member, refsets)))
             if n.op:
                 out = self.operate(n.op, out, nested=True)
         elif members:
@@ -438,7 +441,7 @@ class Evaluator:
             if n.op in ("!!>", "!!<"):
                 raise EclError("not-supported", f"{n.op} needs an expression in parentheses")
             own = self.t.ids(focus.id)
-            out = self.apply(n.op, own) if n.op else self.lift(own)
+            out = self.apply(n.op, own) if n.op else self.lift(own, given=True)
         else:
             out = self.eval(focus)
             if n.op:
@@ -527,10 +530,9 @@ class Evaluator:
             if x.name == "type":
                 if any(v.value not in _TYPES for v in x.values):
                     raise EclError("invalid-value", "a description type is syn, fsn or def")
-                types = self.t.ids(*[_TYPES[v.value] for v in x.values])
+                types = self.t.ids(*[_TYPES[v.value] for v in x.values]).toDF("type_id")
             else:
-                types = self.values(x)
-            types = types.select(F.col("id").alias("type_id"))
+                types = self.values(x, sub, "type_id").select(F.col("id").alias("type_id"))
             return sub.join(types, "type_id", "left_semi" if x.op == "=" else "left_anti")
         if x.name in ("dialect", "dialectId"):
             if x.op != "=":
@@ -542,35 +544,46 @@ class Evaluator:
                         raise EclError("not-found", f"unknown dialect {v.value}")
                     refset = self.t.ids(dialect(v.value))
                 else:
-                    refset = self.named(v)
+                    refset = self.named(v, self.t.member, "refset_id")
                 m = self.t.member.join(refset.select(F.col("id").alias("refset_id")), "refset_id", "left_semi")
                 if v.args.get("acceptability"):
                     m = m.where(F.col("acceptability_id").isin(v.acceptability))
                 m = m.select(F.col("referenced_component_id").alias("description_id"))
                 out = m if out is None else out.union(m)
-            return sub.join(out.distinct(), "description_id", "left_semi")
+            return sub.join(members_of(out.distinct()), "description_id", "left_semi")
         if x.name == "active":
             return sub.where(F.col("description_active") == self.flag(x))
         raise EclError("not-supported", f"a description filter on {x.name}")
 
-    def values(self, x: Node) -> DataFrame:
-        out = None
-        for v in x.values:
-            if v.kind != "expression":
-                raise EclError("invalid-value", f"{x.name} takes concepts")
-            one = self.named(v)
-            out = one if out is None else out.union(one)
+    def values(self, x: Node, rows: DataFrame | None = None, column: str = "") -> DataFrame:
+        """The concepts of all values of a filter; with rows, those that these have in a column of few values."""
+        if any(v.kind != "expression" for v in x.values):
+            raise EclError("invalid-value", f"{x.name} takes concepts")
+        given = [v.of.focus.id for v in x.values if self.plain(v.of)]
+        sets = [self.t.ids(*given)] if given else []
+        sets += [self.named(v, rows, column) for v in x.values if not self.plain(v.of)]
+        out = sets[0]
+        for one in sets[1:]:
+            out = out.union(one)
         return out
 
-    def named(self, v: Node) -> DataFrame:
-        """The concepts of a value: one given by its id need not be described."""
-        plain = v.of.focus.kind == "concept" and not v.of.op and not v.of.member and not v.of.filters
-        return self.t.ids(v.of.focus.id) if plain else self.realise(self.eval(v.of))
+    def plain(self, n: Node) -> bool:
+        return n.kind == "sub" and n.focus.kind == "concept" and not n.op and not n.member and not n.filters
+
+    def named(self, v: Node, rows: DataFrame | None = None, column: str = "") -> DataFrame:
+        """The concepts of a value: one given by its id need not be described. Of computed ones, with rows, those that these have in a column of few values."""
+        if self.plain(v.of):
+            return self.t.ids(v.of.focus.id)
+        found = self.realise(self.eval(v.of))
+        return found if rows is None else present(rows, column, found).toDF("id")
+
+    def of_refsets(self, rows: DataFrame, refsets: DataFrame | None) -> DataFrame:
+        return rows.where("refset_id IS NOT NULL") if refsets is None else rows.join(refsets, "refset_id", "left_semi")
 
-    def members(self, refsets: DataFrame, filters: list[Node]) -> Rows:
+    def members(self, refsets: DataFrame | None, filters: list[Node]) -> Rows:
         out = None
         for f in filters:
-            rows = self.t.refset_member.join(refsets.select(F.col("id").alias("refset_id")), "refset_id", "left_semi")
+            rows = self.of_refsets(self.t.refset_member, refsets)
             if not any(x.name == "active" for x in f.items):
                 rows = rows.where("active")
             for x in f.items:
@@ -716,21 +729,21 @@ def concepts(t: Terminology, source: str) -> DataFrame:
 def expand(t: Terminology, source: str) -> DataFrame:
     """description_id, concept_id and term of the synonyms that a constraint selects, whatever is active."""
     rows = Evaluator(t).rows(source).df
-    return t.substrate.where(F.col("type_id") == ids.SYNONYM).join(rows.select("description_id"), "description_id", "left_semi").select("description_id", "concept_id", "term")
+    return t.substrate.where(F.col("type_id") == ids.SYNONYM).join(members_of(rows.select("description_id")), "description_id", "left_semi").select("description_id", "concept_id", "term")
 
 
 def expand_preferred(t: Terminology, source: str, refsets: list[int]) -> DataFrame:
     """One row a concept: its preferred synonym, if the constraint selects that."""
     from ..operators.lookups import preferred_synonym
 
-    return expand(t, source).join(preferred_synonym(t, refsets).select("description_id"), "description_id", "left_semi")
+    return expand(t, source).join(members_of(preferred_synonym(t, refsets).select("description_id")), "description_id", "left_semi")
 
 
 def expand_historic(t: Terminology, source: str) -> DataFrame:
     """expand(), and the synonyms of the concepts that have associations to what it selects."""
     ev = Evaluator(t)
     old = history.source_historical(t, ev.concepts(source))
-    more = t.substrate.where(F.col("type_id") == ids.SYNONYM).join(old.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").select("description_id", "concept_id", "term")
+    more = t.substrate.where(F.col("type_id") == ids.SYNONYM).join(members_of(old.select(F.col("id").alias("concept_id"))), "concept_id", "left_semi").select("description_id", "concept_id", "term")
     return expand(t, source).union(more).distinct()
 
 
@@ -740,7 +753,7 @@ def contains(t: Terminology, concept_id: int, source: str) -> bool:
 
 
 def intersect(t: Terminology, given: DataFrame, source: str) -> DataFrame:
-    return given.select("id").distinct().join(concepts(t, source), "id", "left_semi")
+    return given.select("id").distinct().join(members_of(concepts(t, source)), "id", "left_semi")
 
 
 def count(t: Terminology, source: str) -> DataFrame:
