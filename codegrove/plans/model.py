@@ -30,6 +30,10 @@ MEMBER = (
 )
 
 
+#: Edges of which one task finds the closure's pairs without duplicates.
+PART_ROWS = 200_000
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """df with exactly the columns of a schema: missing ones null."""
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -56,7 +60,9 @@ def closure(edges: DataFrame) -> DataFrame:
     known = stored(known, "closure")
     outer = edges.join(inner, "descendant", "left_anti").select("descendant", "ancestor")
     above = outer.toDF("descendant", "middle").join(large(known.toDF("middle", "ancestor")), "middle").select("descendant", "ancestor")
-    return stored(known.unionByName(outer.unionByName(above).repartition("descendant").distinct()), "closure")
+    # as many parts as the edges need: parts merged by their compressed size would hold millions of pairs in a task
+    parts = edges.count() // PART_ROWS + 1
+    return stored(known.unionByName(outer.unionByName(above).repartition(parts, "descendant").distinct()), "closure")
 
 
 @dataclass
